@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from foliant.llm import exact_dedup
+from foliant.llm import exact_dedup, language, near_dedup, quality
 
-QUERIES = {"op1_exact_dedup": exact_dedup.op1_exact_dedup}
+QUERIES = {
+    "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op3_language_id": language.op3_language_id,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+}
 SQL = {"op1_exact_dedup": exact_dedup.OP1_SQL}
