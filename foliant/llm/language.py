@@ -233,4 +233,4 @@ def fold(column: str) -> Column:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     known = docs.select(*columns_for(docs, id="doc_id", text="text", lang="lang")).filter(fold("id") != 2)
-    return predict(docs, train(known)).select("doc_id", (fold("doc_id") == 2).alias("held_out"), "lang_pred", "score")
+    return predict(docs, train(known)).select("doc_id", F.coalesce(fold("doc_id") == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

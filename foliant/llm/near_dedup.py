@@ -7,8 +7,8 @@
              A document stops at the round after which no slot can fall any more, which for long texts is the first.
 3. bands     32 bands of 4 slots. A band's value that two classes share makes a bucket. At similarity 0.75 a pair shares
              no bucket with probability (1 - 0.75**4)**32 = 5e-6.
-4. stars     No bucket is expanded into its pairs. In two rounds each class proposes one link, to the class with the least
-             hash among its buckets; links are checked on the full sets and grouped. Most groups are whole after that.
+4. stars     No bucket is expanded into its pairs. Each class proposes one link, to the class with the least hash among
+             its buckets; links are checked on the full sets and grouped. Most groups are whole after that.
 5. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
              blocks that can hold such a pair is a task, which compares 128-byte sketches of the signatures and keeps pairs
              whose estimate isn't below 0.75 by more than 0.25 (6 standard deviations). First the best partner of each
@@ -26,13 +26,13 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from foliant.llm.arrays import LOWER, WORDS, grams, mix, runs, strings, token_hashes, tokens
 from foliant.llm.runtime import Cut, columns_for, cut, join_per_key
@@ -151,19 +151,10 @@ def _verify(percent: int):
     return run
 
 
-def _spread(links: DataFrame, side: str, total: int) -> DataFrame:
-    """Links with a salt, more than one for an end that has more than 1/2000 of all links."""
-    shares = links.groupBy(side).count().filter(F.col("count") * 2000 > F.lit(total))
-    shares = F.broadcast(shares.select(side, F.ceil(F.col("count") * 200 / F.lit(max(1, total))).cast("int").alias("parts")))  # under 2000 rows
-    return links.join(shares, side, "left").withColumn("salt", F.pmod(F.hash("a", "b"), F.coalesce("parts", F.lit(1)))).drop("parts"), shares
-
-
-def _attach(links: DataFrame, nodes: DataFrame, side: str, total: int, *columns: str) -> DataFrame:
-    """links with columns of nodes for one end; nodes of ends with very many links are dealt to several tasks."""
-    salted, shares = _spread(links, side, total)
-    have = nodes.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)).join(shares, side, "left")
-    have = have.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return salted.join(have, [side, "salt"]).drop("salt")
+def _attach(links: DataFrame, nodes: DataFrame, side: str, *columns: str) -> DataFrame:
+    """links with columns of nodes for one end. An end with very many links is split by adaptive execution: an inner join."""
+    have = nodes.select(F.col("cls").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns))
+    return links.join(have, side)
 
 
 class _Groups:
@@ -208,8 +199,8 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs[i : i + 10_000]], pa.binary()) for k in (0, 1)], ["a", "b"])
 
 
-def stars(links: DataFrame) -> DataFrame:
-    """(cls, root): connected components of links (a, b), by union-find in tasks and star steps between them."""
+def stars(links: DataFrame, per_task: int = 200_000) -> DataFrame:
+    """(cls, root): connected components of links (a, b): union-find in tasks of about per_task links, star steps between."""
 
     def step(edges: DataFrame, large: bool) -> DataFrame:
         if large:  # u's larger neighbours get the least of u and its neighbours
@@ -222,40 +213,69 @@ def stars(links: DataFrame) -> DataFrame:
             return out.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         return out.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
-    before = Cut(links.select("a", "b").mapInArrow(_forest, "a binary, b binary"), "links")
-    while True:
+    local = Cut(links.select("a", "b").mapInArrow(_forest, "a binary, b binary"), "links")
+    parts = max(1, math.ceil(local.frame.count() / per_task))
+    before = Cut(local.frame.repartition(parts).mapInArrow(_forest, "a binary, b binary"), "links")
+    local.drop()
+    while parts > 1:
         # a forest in which no item has two roots and no root has a root is done
         d = before.frame
         twice = d.groupBy("a").agg(F.min("b").alias("x"), F.max("b").alias("y")).filter("x <> y").select("a")
         nested = d.join(d.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a")
         if not twice.unionByName(nested).take(1):
-            return d.select(F.col("a").alias("cls"), F.col("b").alias("root")).distinct()
+            break
         now = Cut(step(step(d, True), False).filter("a <> b").distinct(), "links")
         before.drop()
         before = now
+    return before.frame.select(F.col("a").alias("cls"), F.col("b").alias("root")).distinct()
+
+
+def _across(cls: list, root: np.ndarray, n: np.ndarray, side: np.ndarray, tags: np.ndarray, best_only: bool, threshold: float, percent: int) -> Iterator[tuple]:
+    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) whose sketches are alike and groups differ."""
+    right = np.flatnonzero(side != 1)
+    for i in np.flatnonzero(side != 2):
+        at = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        if len(at):
+            alike = (tags[at] == tags[i]).mean(axis=1)
+            at = at[alike == max(alike.max(), threshold)][:1] if best_only else at[alike >= threshold]
+            for j in at:
+                yield min(cls[i], cls[j]), max(cls[i], cls[j])
 
 
 def _crossing(best_only: bool, threshold: float, percent: int):
-    def run(frame: pa.Table) -> pa.Table:
-        cls, root, n = frame["cls"].to_pylist(), frame["root"].to_pylist(), frame["n"].to_numpy()
-        side = frame["side"].to_numpy()
-        tags = np.frombuffer(b"".join(frame["tags"].to_pylist()), np.uint8).reshape(len(cls), SLOTS)
-        _, group = np.unique(np.array(root, dtype=object), return_inverse=True)
-        left, right = np.flatnonzero(side != 2), np.flatnonzero(side != 1)  # side 0: one block with itself
-        out = []
-        for i in left:
-            at = right[(group[right] != group[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-            if not len(at):
+    """Rows come sorted by pair of blocks (key, p, q); one pair is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in _ended(batches):
+            table = pa.Table.from_batches(([rest] if rest is not None else []) + ([batch] if batch is not None else [])) if rest is not None or batch is not None else None
+            if table is None or not table.num_rows:
                 continue
-            alike = (tags[at] == tags[i]).mean(axis=1)
-            at = at[[alike.argmax()]] if best_only and alike.max() >= threshold else at[alike >= threshold]
-            out += [(min(cls[i], cls[j]), max(cls[i], cls[j])) for j in at]
-        out = sorted(set(out))
-        return pa.table({"a": pa.array([x[0] for x in out], pa.binary()), "b": pa.array([x[1] for x in out], pa.binary())})
+            table = table.combine_chunks()
+            at = np.stack([table[c].to_numpy() for c in ("key", "p", "q")])
+            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
+            cuts = np.concatenate([[0], cuts, [] if batch is not None else [table.num_rows]]).astype(int)
+            done = cuts[-1]
+            rest = table.slice(done).to_batches()[0] if done < table.num_rows else None
+            known: dict = {}
+            cls, n, side = table["cls"].to_pylist(), table["n"].to_numpy(), table["side"].to_numpy()
+            root = np.array([known.setdefault(r, len(known)) for r in table["root"].to_pylist()])
+            tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(len(cls), SLOTS)
+            out = set()
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                if y - x > 1:
+                    out.update(_across(cls[x:y], root[x:y], n[x:y], side[x:y], tags[x:y], best_only, threshold, percent))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
 def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only: bool, threshold: float, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket in different groups whose sketches are alike; members: key, cls."""
     m = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
@@ -273,7 +293,8 @@ def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only
     down = F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda x: x < F.col("block")), lambda x: F.struct(x.alias("p"), F.col("block").alias("q"), F.lit(2).alias("side")))
     m = m.withColumn("at", F.explode(F.when(is_main, down).otherwise(F.concat(up, down))))
     m = m.select("key", "at.p", "at.q", "at.side", "cls", "root", "n", "tags")
-    return m.groupBy("key", "p", "q").applyInArrow(_crossing(best_only, threshold, percent), "a binary, b binary").distinct()
+    m = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return m.mapInArrow(_crossing(best_only, threshold, percent), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -298,26 +319,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = mine.mapInArrow(_sets, "cls binary, items binary")
     sets = cut(sets.join(nodes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
-    def verified(links: DataFrame) -> DataFrame:
-        links = cut(links, "proposed")
-        count = links.count()
-        sized = _attach(_attach(links, nodes, "a", count, "n", "tags"), nodes, "b", count, "n", "tags")
-        sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        near = cut(sized.select("a", "b", "tags_a", "tags_b").mapInArrow(_alike(threshold), "a binary, b binary"), "near")
-        count = near.count()
-        whole = _attach(_attach(near, sets, "a", count, "items"), sets, "b", count, "items")
-        return whole.select("a", "b", "items_a", "items_b").mapInArrow(_verify(percent), "a binary, b binary")
-
     groups = _Groups(spark)
-    for turn in (1, 2):
-        rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("rank"), c.alias("cls"))  # noqa: E731, B023
-        m = members.join(groups.frame(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-        best = m.groupBy("key").agg(F.min(rank(F.col("cls"))).alias("best"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key", "best")
-        # one proposal for each class; a group's link to another group is enough
-        proposed = m.join(best, "key").filter("cls <> best.cls").groupBy("cls").agg(F.min("best").alias("best"))
-        groups.add(verified(proposed.select(F.col("cls").alias("a"), F.col("best.cls").alias("b"))))
+
+    def check(links: DataFrame) -> None:
+        sized = _attach(_attach(links, nodes, "a", "n", "tags"), nodes, "b", "n", "tags")
+        sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+        near = sized.select("a", "b", "tags_a", "tags_b").mapInArrow(_alike(threshold), "a binary, b binary")
+        whole = _attach(_attach(near, sets, "a", "items"), sets, "b", "items")
+        groups.add(whole.select("a", "b", "items_a", "items_b").mapInArrow(_verify(percent), "a binary, b binary"))
+
+    rank = F.struct(F.xxhash64("cls").alias("rank"), F.col("cls"))
+    best = members.groupBy("key").agg(F.min(rank).alias("best"))
+    proposed = members.join(best, "key").filter("cls <> best.cls").groupBy("cls").agg(F.min("best").alias("best"))
+    check(proposed.select(F.col("cls").alias("a"), F.col("best.cls").alias("b")))
     for best_only in (True, False):
-        groups.add(verified(crossings(members, groups.frame(), nodes, best_only, threshold, percent)))
+        check(crossings(members, groups.frame(), nodes, best_only, threshold, percent))
 
     grouped = classes.join(groups.frame(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = grouped.groupBy("root").agg(F.min("least").alias("keep"), F.sum("size").alias("all")).filter("all > 1")

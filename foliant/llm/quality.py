@@ -2,7 +2,8 @@
 
 Tokens are runs of letters and digits (all beyond ASCII counted among them) and runs of other marks, in their own case.
 Single tokens and pairs of neighbours are hashed to 2**18 places; a text's value at a place is its share of all the
-text's n-grams, so long and short texts are alike. FTRL-proximal steps with L1 and L2 terms fit the weights; a score is
+text's n-grams, so long and short texts are alike. Words of new texts are often unknown, their repetition isn't: a pair
+of equal tokens has one place whatever the token is, and so has a triple whose first and third tokens are equal. FTRL-proximal steps with L1 and L2 terms fit the weights; a score is
 the sigmoid of a sparse dot product, over the whole text.
 
 The fit reads at most `max_labelled` labelled rows, those with the smallest hashes of their ids, in one task; scores are
@@ -28,27 +29,32 @@ from foliant.llm.runtime import columns_for
 BITS = 18
 MAX_LABELLED = 6000
 THRESHOLD = 0.3
+#: Places of a pair of equal tokens and of a triple with equal ends.
+TWICE, AGAIN = 0, 1
 #: Shares are small numbers; this brings them near 1.
 SCALE = 8.0
 
 
-def _places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of single tokens, of pairs by their first token, and how many tokens begin before each text."""
+def _places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of single tokens, of pairs by their first token, firsts of triples with equal ends, and tokens before each text."""
     starts, ends, first = tokens(data, offsets, CLASSES)
     h = token_hashes(data, starts, ends)
-    pairs = mix(h[:-1] * BASE + h[1:]) if len(h) else h
-    return (h >> np.uint64(64 - BITS)).astype(np.int64), (pairs >> np.uint64(64 - BITS)).astype(np.int64), first
+    pairs = (mix(h[:-1] * BASE + h[1:]) >> np.uint64(64 - BITS)).astype(np.int64)
+    pairs[h[:-1] == h[1:]] = TWICE
+    again = np.flatnonzero((h[:-2] == h[2:]) & (h[:-2] != h[1:-1]))
+    return (h >> np.uint64(64 - BITS)).astype(np.int64), pairs, again, first
 
 
 def examples(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places and values of each text."""
     data, offsets = strings(texts)
     for a, b in runs(offsets):
-        one, two, first = _places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        one, two, again, first = _places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         for i in range(b - a):
             x, y = first[i], first[i + 1]
-            places, counts = np.unique(np.concatenate([one[x:y], two[x : max(x, y - 1)]]), return_counts=True)
-            yield places, counts * (SCALE / max(1, counts.sum()))
+            n = np.searchsorted(again, max(x, y - 2)) - np.searchsorted(again, x)
+            places, counts = np.unique(np.concatenate([one[x:y], two[x : max(x, y - 1)], np.full(n, AGAIN)]), return_counts=True)
+            yield places, counts * (SCALE / max(1, 2 * (y - x) - 1))
 
 
 class Ftrl:
@@ -118,15 +124,16 @@ def _scores(model):
             data, offsets = strings(batch.column("text"))
             out = np.zeros(len(batch))
             for a, b in runs(offsets):
-                one, two, first = _places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                one, two, again, first = _places(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                begin, end = first[:-1], first[1:]
                 sums = np.concatenate([[0.0], np.cumsum(w[one])])
-                between = w[two]
-                between[first[1:][(first[1:] > 0) & (first[1:] <= len(two))] - 1] = 0.0  # pairs over the end of a text
-                pairs = np.concatenate([[0.0], np.cumsum(between)]) if len(one) else np.zeros(1)
-                pairs = np.append(pairs, pairs[-1])
-                n = first[1:] - first[:-1]
-                z = (sums[first[1:]] - sums[first[:-1]] + pairs[first[1:]] - pairs[first[:-1]]) * SCALE / np.maximum(1, 2 * n - 1)
-                out[a:b] = 1 / (1 + np.exp(-np.clip(z + bias, -35, 35)))
+                pairs = np.concatenate([[0.0], np.cumsum(w[two])])
+                n = end - begin
+                last = np.maximum(begin, end - 1)  # a pair begins before the last token, a triple before the last two
+                triples = np.searchsorted(again, np.maximum(begin, end - 2)) - np.searchsorted(again, begin)
+                at = np.minimum(np.stack([begin, last]), len(two))
+                z = sums[end] - sums[begin] + pairs[at[1]] - pairs[at[0]] + triples * w[AGAIN]
+                out[a:b] = 1 / (1 + np.exp(-np.clip(z * SCALE / np.maximum(1, 2 * n - 1) + bias, -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out)], ["id", "score"])
 
     return run
@@ -167,4 +174,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     scored = score(docs, fitted(docs, labels))
-    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
