@@ -6,15 +6,19 @@
              is the round plus a random fraction, so ranks of one shingle are correlated over slots and lower the variance.
              A document stops at the round after which no slot can fall any more, which for long texts is the first.
 3. bands     32 bands of 4 slots. A band's value that two classes share makes a bucket. At similarity 0.75 a pair shares
-             no bucket with probability (1 - 0.75**4)**32 = 5e-6.
-4. stars     No bucket is expanded into its pairs. Each class proposes one link, to the class with the least hash among
+             no bucket with probability (1 - 0.75**4)**32 = 5e-6. Band values are dealt and sorted once, and read in order.
+4. bounds    Of each class in a bucket, the shingles that any other such class has are counted (hashes cut to 32 bits, so
+             that a count may be too large and is never too small). With n and m shingles, s and t of them shared with
+             anyone, similarity p needs (1 + p) * min(s, t) >= p * (n + m): a copy with many edits of its own has no
+             partner, and is never paired with its group.
+5. stars     No bucket is expanded into its pairs. Each class proposes one link, to the class with the least hash among
              its buckets; links are checked on the full sets and grouped. Most groups are whole after that.
-5. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
-             blocks that can hold such a pair is a task, which compares 128-byte sketches of the signatures and keeps pairs
-             whose estimate isn't below 0.75 by more than 0.25 (6 standard deviations). First the best partner of each
-             class is checked, groups are joined, and then every pair that is still across groups: no link is lost to a
-             cap. Sizes of sets bound the similarity exactly and prune first.
-6. groups    Union-find in each task over its links, then large-star and small-star steps between tasks until nothing
+6. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
+             blocks that can hold such a pair is compared at once, by the bounds and by 128-byte sketches of the signatures,
+             which drop pairs whose estimate is below 0.75 by more than 0.25 (6 standard deviations); a pair is looked at in
+             its first bucket only. First the best partner of each class is checked, groups are joined, and then every pair
+             that is still across groups: no link is lost to a cap.
+7. groups    Union-find in each task over its links, then large-star and small-star steps between tasks until nothing
              changes. Links and groups stay in tables.
 
 Defined results: null or empty text, or text without words: the empty set, linked with nothing (component_id is the
@@ -43,6 +47,8 @@ PERCENT = 75
 #: An estimate over 128 slots is off by 0.038 (one standard deviation) at most.
 MARGIN = 0.25
 BLOCK = 2000
+#: Shingles that one task counts.
+PART_ITEMS = 2_000_000
 RUN_BYTES = 2 << 20
 
 
@@ -125,7 +131,70 @@ def _rows(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sets = list(shingle_sets(batch.column("text")))
-        yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "items"])
+        names = [digest(s) for s in sets]
+        cid = np.frombuffer(b"".join(n[:8] for n in names), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(cid), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "cid", "items"])
+
+
+_ITEM = np.dtype([("cid", "<i8"), ("item", "<u4")])
+
+
+def _dealt(parts: int):
+    """Shingles of classes by part, packed: 12 bytes each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
+            flat = np.empty(sum(map(len, items)), _ITEM)
+            flat["cid"] = np.repeat(batch.column("cid").to_numpy(), [len(x) for x in items])
+            h = np.concatenate(items) if items else np.zeros(0, np.uint64)
+            flat["item"] = (h >> np.uint64(32)).astype(np.uint32)
+            part = flat["item"] % np.uint32(parts)
+            order = np.argsort(part, kind="stable")
+            found, at = np.unique(part[order], return_index=True)
+            packed = [x.tobytes() for x in np.split(flat[order], at[1:])] if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+
+    return run
+
+
+def _shared_items(table: pa.Table) -> pa.Table:
+    """How many of its shingles in this part each class shares with another."""
+    flat = np.frombuffer(b"".join(table["packed"].to_pylist()), _ITEM)
+    order = np.argsort(flat["item"], kind="stable")
+    item, cid = flat["item"][order], flat["cid"][order]
+    same = item[1:] == item[:-1]
+    both = np.zeros(len(item), bool)
+    both[1:] |= same
+    both[:-1] |= same
+    found, counts = np.unique(cid[both], return_counts=True)
+    return pa.table({"cid": found, "s": counts.astype(np.int64)})
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and class, those whose key has another class; repeated rows once."""
+    last: tuple | None = None  # key, class, band, and whether it has gone out
+    for batch in batches:
+        key = batch.column("key").to_numpy()
+        cls = batch.column("cls").to_pylist()
+        band = batch.column("band").to_numpy()
+        n = len(key)
+        if not n:
+            continue
+        prior = [last[1] if last else None, *cls[:-1]]
+        with_prior = np.concatenate([[last is not None and last[0] == key[0]], key[1:] == key[:-1]])
+        fresh = ~(with_prior & np.fromiter((a == b for a, b in zip(cls, prior, strict=True)), bool, n))
+        at = np.flatnonzero(fresh)
+        if not len(at):
+            continue
+        joined = with_prior[at]  # another class of the key came before
+        out = joined.copy()
+        out[:-1] |= joined[1:]
+        keys, rows, bands = key[at[out]], [cls[i] for i in at[out]], band[at[out]]
+        if joined[0] and not last[3]:
+            keys, rows, bands = np.append(keys, last[0]), [*rows, last[1]], np.append(bands, last[2])
+        last = (key[at[-1]], cls[at[-1]], band[at[-1]], bool(out[-1]))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(keys), pa.array(bands.astype(np.int32))], ["cls", "key", "band"])
 
 
 def _alike(threshold: float):
@@ -230,14 +299,20 @@ def stars(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     return before.frame.select(F.col("a").alias("cls"), F.col("b").alias("root")).distinct()
 
 
-def _across(cls: list, root: np.ndarray, n: np.ndarray, side: np.ndarray, tags: np.ndarray, best_only: bool, threshold: float, percent: int) -> Iterator[tuple]:
-    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) whose sketches are alike and groups differ."""
+def _across(cls: list, root: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray, tags: np.ndarray, band: int, best_only: bool, threshold: float, percent: int) -> Iterator[tuple]:
+    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) that may be alike and whose groups differ."""
     right = np.flatnonzero(side != 1)
+    bands = tags.reshape(len(tags), BANDS, -1)
     for i in np.flatnonzero(side != 2):
-        at = right[(root[right] != root[i]) & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
+        bound = (100 + percent) * np.minimum(s[right], s[i]) >= percent * (n[right] + n[i])
+        at = right[(root[right] != root[i]) & bound & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         if len(at):
             alike = (tags[at] == tags[i]).mean(axis=1)
-            at = at[alike == max(alike.max(), threshold)][:1] if best_only else at[alike >= threshold]
+            if best_only:
+                at = at[alike == max(alike.max(), threshold)][:1]
+            else:
+                at = at[alike >= threshold]
+                at = at[(bands[at] == bands[i]).all(axis=2).argmax(axis=1) == band]  # the first bucket that both are in
             for j in at:
                 yield min(cls[i], cls[j]), max(cls[i], cls[j])
 
@@ -258,13 +333,13 @@ def _crossing(best_only: bool, threshold: float, percent: int):
             done = cuts[-1]
             rest = table.slice(done).to_batches()[0] if done < table.num_rows else None
             known: dict = {}
-            cls, n, side = table["cls"].to_pylist(), table["n"].to_numpy(), table["side"].to_numpy()
+            cls, n, s, side, band = table["cls"].to_pylist(), *(table[c].to_numpy() for c in ("n", "s", "side", "band"))
             root = np.array([known.setdefault(r, len(known)) for r in table["root"].to_pylist()])
             tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(len(cls), SLOTS)
             out = set()
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y - x > 1:
-                    out.update(_across(cls[x:y], root[x:y], n[x:y], side[x:y], tags[x:y], best_only, threshold, percent))
+                    out.update(_across(cls[x:y], root[x:y], n[x:y], s[x:y], side[x:y], tags[x:y], int(band[x]), best_only, threshold, percent))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -277,13 +352,13 @@ def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]
 
 
 def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only: bool, threshold: float, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different groups whose sketches are alike; members: key, cls."""
+    """Pairs (a, b) of one bucket in different groups whose sketches are alike; members: key, band, cls."""
     m = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     per_root = m.groupBy("key", "root").count()
     # the largest group of a bucket needs no comparison with itself
     per_key = per_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     per_key = per_key.select("key", F.col("most.root").alias("main"), F.ceil(F.col("most.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).cast("int").alias("others"))
-    m = m.join(per_key, "key").join(nodes.select("cls", "n", "tags"), "cls")
+    m = m.join(per_key, "key").join(nodes.select("cls", "n", "s", "tags"), "cls")
     is_main = F.col("root") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(F.hash("cls"), F.col("mains"))).otherwise(F.pmod(F.hash("cls"), F.col("others")))
     m = m.withColumn("block", block)
@@ -292,7 +367,7 @@ def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only
     up = F.transform(F.sequence(F.col("block"), last), lambda x: F.struct(F.col("block").alias("p"), x.alias("q"), F.when(x == F.col("block"), 0).otherwise(1).alias("side")))
     down = F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda x: x < F.col("block")), lambda x: F.struct(x.alias("p"), F.col("block").alias("q"), F.lit(2).alias("side")))
     m = m.withColumn("at", F.explode(F.when(is_main, down).otherwise(F.concat(up, down))))
-    m = m.select("key", "at.p", "at.q", "at.side", "cls", "root", "n", "tags")
+    m = m.select("key", "band", "at.p", "at.q", "at.side", "cls", "root", "n", "s", "tags")
     m = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return m.mapInArrow(_crossing(best_only, threshold, percent), "a binary, b binary").distinct()
 
@@ -310,15 +385,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     threshold = percent / 100 - MARGIN
 
     # buckets that more than one class shares
-    at = rows.filter("n > 0").select("cls", F.explode("bands").alias("key"))
-    shared = at.groupBy("key").agg(F.min("cls").alias("x"), F.max("cls").alias("y")).filter("x <> y").select("key")
-    members = cut(at.join(shared, "key").distinct(), "members")
+    at = rows.filter("n > 0").select("cls", F.posexplode("bands").alias("band", "key"))
+    members = cut(at.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "cls binary, key long, band int"), "members")
     wanted = members.select("cls").distinct()
     nodes = cut(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tags", "id"), "nodes")
     mine = texts.select("id", "text").join(nodes.select("id"), texts["id"].eqNullSafe(nodes["id"]), "left_semi")
-    sets = mine.mapInArrow(_sets, "cls binary, items binary")
+    sets = mine.mapInArrow(_sets, "cls binary, cid long, items binary")
     sets = cut(sets.join(nodes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
+    # bounds: shingles that another class of any bucket has
+    items = nodes.agg(F.sum("n").alias("n")).first().n or 0
+    dealt = sets.select("cid", "items").mapInArrow(_dealt(max(1, math.ceil(items / PART_ITEMS))), "part int, packed binary")
+    counts = dealt.groupBy("part").applyInArrow(_shared_items, "cid long, s long").groupBy("cid").agg(F.sum("s").alias("s"))
+    counts = sets.select("cls", "cid").join(counts, "cid").select("cls", "s")
+    nodes = nodes.join(counts, "cls").filter((100 + percent) * F.col("s") * 100 >= F.lit(percent * (100 + percent)) * F.col("n"))
+    nodes = cut(nodes, "bounded")
+    members = cut(members.join(nodes.select("cls"), "cls", "left_semi"), "bounded")
+
     groups = _Groups(spark)
 
     def check(links: DataFrame) -> None:
