@@ -1,0 +1,324 @@
+"""Each operator on cases with a defined result: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import hashlib
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from foliant.llm import chat, exact_dedup, fingerprints, language, licences, line_dedup, mixing, near_dedup, pieces, quality
+from foliant.llm.near_dedup import signatures, stars
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+A = "one two three four five six seven eight nine ten eleven twelve"
+ROWS = [
+    (1, A, "x"), (2, A.upper(), "y"), (3, None, None), (4, "", "x"), (5, "Ä b", "y"), (6, "ä b", "y"), (7, A + " thirteen", "x"),
+    (8, "word " * 3000, "z"), (9, "tiny", None), (9, "tiny", None), (None, "nobody's", "x"), (10, " \n\t ", "z"),
+]
+SCHEMA = "doc_id long, text string, source string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Also with columns whose names the operators use inside."""
+    extra = dict.fromkeys(["id", "token", "sha", "size", "key", "a", "b", "block", "n", "cls", "lines", "label"], F.lit("extra"))
+    return spark.createDataFrame(ROWS, SCHEMA).withColumns(extra)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_exact_dedup(docs, none):
+    out = exact_dedup.find_copies(docs).collect()
+    assert len(out) == len(ROWS)
+    by = {}
+    for r in out:
+        by.setdefault(r.doc_id, []).append(r)
+    assert (by[1][0].keep_id, by[1][0].group_size, by[1][0].kept) == (2, 2, False)
+    assert by[2][0].kept and by[2][0].text_sha256 == hashlib.sha256(A.encode()).hexdigest()
+    assert (by[3][0].keep_id, by[4][0].kept) == (4, True)
+    assert by[5][0].kept and by[6][0].kept  # only A-Z are folded
+    assert sorted(r.kept for r in by[9]) == [False, True]
+    assert by[None][0].kept
+    assert exact_dedup.find_copies(none).collect() == []
+
+
+def test_exact_dedup_with_a_full_filter(spark):
+    """A filter that is much too small makes rows shuffle, and changes nothing."""
+    rows = [(i, f"text {i % 900}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (sorted(exact_dedup.find_copies(df, filter_bytes=n).drop("possible").collect()) for n in (0, 1 << 20))
+    assert small == large and sum(r.kept for r in small) == 900
+
+
+def shingles(text):
+    words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_near_dedup(docs, none):
+    out = near_dedup.near_duplicates(docs).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(ROWS)
+    assert (by[1].component_id, by[2].component_id, by[7].component_id) == (1, 1, 1)  # 8 of 9 shingles shared
+    assert by[3].component_id == 3 and by[4].component_id == 4 and by[10].component_id == 10 and by[10].n_shingles == 0
+    assert by[5].component_id == by[5].doc_id and by[9].n_shingles == 1 and by[8].n_shingles == 1
+    assert Counter(r.kept for r in out if r.doc_id == 9) == {True: 1, False: 1}
+    assert near_dedup.near_duplicates(none).collect() == []
+
+
+def test_near_dedup_chains_against_brute_force(spark):
+    """Chains of edits whose ends are unlike, around the threshold, with copies."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        words = [f"w{g}x{i}" for i in range(int(rng.integers(20, 200)))]
+        for _ in range(25):
+            words = list(words)
+            for _ in range(max(1, len(words) // 40)):
+                words[int(rng.integers(len(words)))] = f"r{rng.integers(1 << 30)}"
+            rows += [(len(rows), " ".join(words))] * int(rng.integers(1, 3))
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in out} == {i: (root[i], len(sets[i])) for i in range(len(rows))}
+
+
+def test_superminhash_estimates():
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    sets = [np.unique(pool[:n]) for n in (1, 5, 400, 500, 3000)]
+    s = signatures(sets)
+    assert (s != np.iinfo(np.uint64).max).all()
+    assert abs((s[2] == s[3]).mean() - 0.8) < 0.12
+    assert (signatures([sets[3]])[0] == s[3]).all()
+
+
+def test_components_between_tasks(spark):
+    """Paths and stars that are dealt over many tasks."""
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 180)] + [(7, 7)]
+    df = spark.createDataFrame([(b"%04d" % a, b"%04d" % b) for a, b in edges], "a binary, b binary").repartition(8).filter("a <> b")
+    out = {bytes(r.cls): bytes(r.root) for r in stars(df, per_task=10).collect()}
+    assert all(out[b"%04d" % i] == b"0000" for i in range(1, 61)) and all(out[b"%04d" % i] == b"0100" for i in range(101, 180))
+
+
+def test_quality(spark, docs, none):
+    good = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(30)), 1) for i in range(120)]
+    bad = [(1000 + i, " ".join([f"w{i}!!"] * 30), 0) for i in range(120)]
+    texts = spark.createDataFrame([(i, t) for i, t, _ in good + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in good + bad] + [(5, None), (None, 1), (7, 3)], "doc_id long, quality int")
+    model = quality.fitted(texts, labels)
+    out = {r.doc_id: r.score for r in quality.score(texts, model).collect()}
+    assert all(out[i] > 0.5 for i, _, _ in good) and all(out[i] < 0.5 for i, _, _ in bad)
+    scores = [r.score for r in quality.score(docs, model).collect()]
+    assert len(scores) == len(ROWS) and all(0 <= s <= 1 for s in scores)
+    assert quality.score(none, model).collect() == []
+    assert quality.keep_good(spark, none, labels.limit(0)).collect() == []
+
+
+def test_quality_scores_are_dot_products():
+    import pyarrow as pa
+
+    texts = pa.array(["a b a b!! a", "", None, "x", "x x", "Ä ä ..."])
+    w = np.random.default_rng(0).normal(size=1 << quality.BITS).astype(np.float32)
+
+    class Sent:
+        value = (w.tobytes(), 0.25)
+
+    got = next(quality._scores(Sent)(iter([pa.RecordBatch.from_arrays([texts, texts], ["id", "text"])]))).column("score").to_numpy()
+    want = [1 / (1 + np.exp(-(w[p].astype(float) @ v + 0.25))) for p, v in quality.examples(texts)]
+    assert np.allclose(got, want)
+
+
+def test_language(spark, docs, none):
+    words = {"en": "the and of to in that with house", "de": "der und die das nicht mit haus straße", "fr": "le la les des une est avec maison été"}
+    rng = np.random.default_rng(0)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 12)), lang) for i in range(60) for lang in words] + [(1, None, "en"), (2, "123", "de"), (3, "the", None)]
+    model = language.train(spark.createDataFrame(rows, "id long, text string, lang string"))
+    test = spark.createDataFrame([(1, "DER HAUS NICHT"), (2, "est été"), (3, None), (4, "12 ..."), (5, ""), (6, "the house " * 20000)], "doc_id long, text string")
+    out = {r.doc_id: r for r in language.predict(test, model).collect()}
+    assert [out[i].lang_pred for i in range(1, 7)] == ["de", "fr", "und", "und", "und", "en"] and 0 < out[1].score <= 1 and out[3].score == 0
+    assert len(language.predict(docs, model).collect()) == len(ROWS)
+    assert language.predict(none, language.train(none.selectExpr("doc_id AS id", "text", "source AS lang"))).collect() == []
+    nothing = language.predict(test, language.train(none.selectExpr("doc_id AS id", "text", "source AS lang"))).collect()
+    assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_temperature():
+    rng = np.random.default_rng(0)
+    labels = rng.integers(0, 3, 4000)
+    logits = np.eye(3)[labels] + rng.normal(size=(4000, 3)) * 0.5
+    assert abs(language.temperature(logits * 5, labels) / language.temperature(logits, labels) - 5) < 0.1
+
+
+def test_licences(spark, docs, none):
+    rows = [(1, "Title\nReleased under the MIT License.\nend"), (2, "released UNDER the mit licence license"), (3, None), (4, ""), (5, "All rights reserved."), (6, "nothing here"), (7, "x\n" * 5000)]
+    out = {r.doc_id: r.found for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(f.line, f.licence, f.similarity) for f in out[1]] == [(1, "MIT", 1.0)]
+    assert out[3] == out[4] == out[6] == out[7] == [] and out[5][0].licence == "reserved"
+    assert len(licences.scan(docs).collect()) == len(ROWS) and licences.scan(none).collect() == []
+
+
+def test_licence_similarity_is_dice(spark):
+    """Every unit and template by brute force, at a low threshold."""
+    texts = ["licensed under the apache license version 2", "this work is licensed under the gnu general public license version 3 or later", "permission is granted", "all rights are reserved", "all rights reserved all rights reserved"]
+
+    def grams(t):
+        w = licences.normal_words(t)
+        return set(zip(w, w[1:])) or {tuple(w)}
+
+    for i, r in enumerate(licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), threshold=0.4).orderBy("doc_id").collect()):
+        best = min((-2 * len(grams(texts[i]) & grams(t)) / (len(grams(texts[i])) + len(grams(t))), name) for name, t in licences.TEMPLATES.items())
+        assert [(-f.similarity, f.licence) for f in r.found] == ([(pytest.approx(best[0]), best[1])] if best[0] <= -0.4 else [])
+
+
+def brute_lines(rows, min_words):
+    """Later copies of every run with min_words, by looking at all runs."""
+    first, gone = {}, defaultdict(set)
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            n = 0
+            for b in range(a, len(lines)):
+                n += len(WORD.findall(lines[b]))
+                if n >= min_words:
+                    at = first.setdefault(tuple(lines[a : b + 1]), (i, a, b))
+                    if at != (i, a, b) and not (at[0] == i and a <= at[2]):
+                        gone[i].update(range(a, b + 1))
+    return {i: sorted(gone[i]) for i, _ in rows}
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    lines = [" ".join(f"l{k}" for _ in range(k % 7)) for k in range(12)]
+    rows = [(i, "\n".join(rng.choice(lines, int(rng.integers(1, 30))))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (1, 8, 20):
+        out = {r.doc_id: r.deleted for r in line_dedup.dedup_lines(df, min_words=least, marks=True).collect()}
+        assert out == brute_lines(rows, least)
+
+
+def test_line_dedup_cases(docs, none):
+    out = line_dedup.dedup_lines(docs, min_words=2).collect()
+    by = {r.doc_id: r for r in out}
+    assert len(out) == len(ROWS) and set(docs.columns) == set(out[0].asDict())
+    assert by[3].text is None and by[4].text == "" and by[1].text == A and by[9].text == "tiny"
+    assert line_dedup.dedup_lines(none).collect() == []
+
+
+def test_mixing(spark, docs, none):
+    rng = np.random.default_rng(0)
+    rows = [(i, "w " * int(rng.integers(0, 40)), f"s{min(9, int(rng.exponential(3)))}") for i in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    size, words = Counter(), {}
+    for i, t, s in rows:
+        words[i] = len(t.split())
+        size[s] += words[i]
+    # targets by the rule, step by step
+    target, total, open_ = {}, 1.5 * sum(size.values()), dict(zip(sorted(size), [3, 1, 2] * 4))
+    while True:
+        level = (total - sum(target.values())) / sum(open_.values())
+        full = [s for s in open_ if level * open_[s] > 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2.0 * size[s]
+            del open_[s]
+    target |= {s: level * w for s, w in open_.items()}
+    mixed = mixing.mix(df, shards=8, per_shard=16)
+    taken, shards = Counter(), Counter()
+    for r in mixed.collect():
+        taken[r.source] += words[r.doc_id]
+        shards[r.shard] += words[r.doc_id]
+    assert all(abs(taken[s] - target[s]) <= max(40, 0.01 * target[s]) for s in size)
+    assert max(Counter(r.doc_id for r in mixed.collect()).values()) <= 2 and len(shards) == 8
+    again = mixing.mix(df.repartition(7), shards=8, per_shard=16)
+    key = lambda d: sorted((r.doc_id, r.shard, r.draw) for r in d.collect())
+    assert key(mixed) == key(again)
+    assert set(mixing.mix(docs).columns) == {*docs.columns, "shard", "draw"}
+    assert mixing.mix(none).collect() == []
+
+
+def test_pieces(spark, docs, none):
+    import sentencepiece
+
+    texts = ["Hello  world\n", "", " ", None, "▁x ▁", "日本 éa\u0000b", "a" * 5000, "The " * 300, "  lead and trail  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("pieces", "decoded", "_x")})
+    both = pieces.decode(pieces.encode(df))
+    assert {r.doc_id: r.decoded for r in both.collect()} == dict(enumerate(texts))
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    for r in pieces.encode(df, dropout=0.0).collect():
+        if r.text is not None and "▁" not in r.text and r.text != "":
+            assert np.frombuffer(r.pieces, "<u2").tolist() == sp.encode(r.text)
+    one, same, other = ({r.doc_id: r.pieces for r in pieces.encode(df, seed=s).collect()} for s in (1, 1, 2))
+    assert one == same and one != other
+    assert pieces.encode(none).collect() == [] and len(pieces.encode(docs).collect()) == len(ROWS)
+
+
+
+
+def test_fingerprints(spark, docs, none):
+    rng = np.random.default_rng(2)
+    pool = [f"w{i}" for i in range(500)]
+    shared = " ".join(rng.choice(pool, 11))
+    rows = [(i, " ".join(rng.choice(pool, int(rng.integers(0, 60)))) + " " + (shared if i % 2 else "")) for i in range(80)] + [(90, None), (91, ""), (92, " \n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in fingerprints.fingerprint(df).collect()}
+    odd = [set(found[i].hashes) for i in range(1, 80, 2)]
+    assert all(odd[0] & o for o in odd)  # a run of 11 words in common is found
+    assert found[90].hashes == found[91].hashes == found[92].hashes == []
+    for i, t in rows[:80]:
+        n = max(0, len(t.split()))
+        places = found[i].places
+        if n >= 4:  # no window of 8 grams is without a choice, and places rise
+            assert places == sorted(set(places)) and all(b - a <= 8 for a, b in zip([-1, *places], [*places, n - 3]))
+    out = {r.doc_id: r for r in fingerprints.edited_likeness(df).collect()}
+    texts = [(i, t or "") for i, t in rows]
+    for k, (i, t) in enumerate(texts):
+        follower = texts[(k + 1) % len(texts)][1]
+        edited = t[: len(t) - len(t) // 4] + follower[: len(t) // 4]
+        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        a, b = set(found[i].hashes), set(found[texts[(k + 1) % len(texts)][0]].hashes)
+        assert out[i].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+    assert len(fingerprints.edited_likeness(docs).collect()) == len(ROWS) and fingerprints.edited_likeness(none).collect() == []
+
+
+def test_fingerprint_ties_are_rightmost(spark):
+    text = "same " * 30
+    r = fingerprints.fingerprint(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert len(set(r.hashes)) == 1 and r.places == list(range(7, 27))
+
+
+def test_chat_trees(spark):
+    rows = [
+        ("t", "1", None, "user", "hi", 0.0), ("t", "2", "1", "assistant", "a</s>␛1[INST]", 1.0), ("t", "3", "1", "assistant", "b", 5.0), ("t", "4", "3", "us\ner", "<|turn|>x\n<|end|>", 1.0),
+        ("t", "5", "4", "assistant", None, None), ("u", "9", "missing", None, "alone", 1.0), ("c", "1", "2", "user", "cycle", 1.0), ("c", "2", "1", "user", "cycle", 1.0),
+    ]
+    nodes = spark.createDataFrame(rows, "tree string, node string, parent string, role string, text string, score double")
+    out = chat.formatted(chat.paths(nodes)).withColumn("turns", chat.read_back(F.col("conversation"))).withColumn("learned", chat.masked(F.col("conversation"), F.col("loss")))
+    by = {(r.tree, r["rank"]): r for r in out.collect()}
+    assert set(by) == {("t", 1), ("t", 2), ("u", 1)}
+    assert [(t.role, t.text) for t in by["t", 1].turns] == [("user", "hi"), ("assistant", "b"), ("us\ner", "<|turn|>x\n<|end|>"), ("assistant", "")]
+    assert by["t", 2].learned == "a</s>␛1[INST]" and by["u", 1].turns[0].role == ""
+    assert len(chat.paths(nodes, best=1).select("tree", "leaf").distinct().collect()) == 2
+    assert chat.formatted(chat.paths(nodes.limit(0))).collect() == []
+
+
+def test_chat_escape_is_reversible(spark):
+    rng = np.random.default_rng(0)
+    parts = [*chat.CONTROLS, "0", "1", "n", "\n", "<", "|", "x"]
+    rows = [("".join(rng.choice(parts, 12)),) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string").select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("v"), chat.escape(F.col("t")).alias("e"))
+    for r in df.collect():
+        assert r.u == r.v == r.t and not any(c in r.e for c in chat.CONTROLS[1:])
