@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from foliant.plans import projects, records, similarity, texts  # noqa: F401
+from foliant.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
