@@ -96,7 +96,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs with the later copies of repeated runs taken out of the text; with marks also n_lines and deleted (sorted)."""
     found = cut(repeated_lines(docs, id_col, text_col, min_words), "deleted").withColumnsRenamed({"id": "_id", "th": "_th", "deleted": "_deleted"})
     text = docs[f"`{text_col}`"]
-    joined = docs.join(found, docs[f"`{id_col}`"].eqNullSafe(found["_id"]) & (F.xxhash64(text) == found["_th"]), "left")
+    # what is deleted grows with the input, so it is never broadcast
+    joined = docs.join(found.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_deleted"))
     clean = F.when(F.col("_deleted").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
