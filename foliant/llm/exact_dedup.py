@@ -112,7 +112,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows of which an equal text with a larger id stays. Ids must be distinct here."""
     gone = find_copies(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -389,7 +389,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = cut(at.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "cls binary, key long, band int"), "members")
     wanted = members.select("cls").distinct()
     nodes = cut(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tags", "id"), "nodes")
-    mine = texts.select("id", "text").join(nodes.select("id"), texts["id"].eqNullSafe(nodes["id"]), "left_semi")
+    # what has a partner grows with the input, so it is never broadcast
+    mine = texts.select("id", "text").join(nodes.select(F.col("id").alias("_id")).hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     sets = mine.mapInArrow(_sets, "cls binary, cid long, items binary")
     sets = cut(sets.join(nodes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
@@ -430,7 +431,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose group keeps another row. Rows that repeat an id go or stay together."""
     gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone["__gone"]), "left_anti")
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("__gone")), "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
