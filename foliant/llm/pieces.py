@@ -20,6 +20,7 @@ an empty table; other columns are carried along.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -35,9 +36,10 @@ from foliant.llm.arrays import mix, token_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 1
 #: Distinct (unit, variant) whose pieces a worker keeps, and characters that are worked on at once.
-KEPT, RUN_CHARS = 500_000, 2 << 20
+KEPT, RUN_CHARS = 300_000, 1 << 20
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
+BATCH = 1000
 #: Longer units are worked on one by one, with a list for an agenda.
 LONG = 48
 
@@ -284,20 +286,34 @@ def encoder(model: bytes, **options) -> Encoder:
     return _encoders[key]
 
 
-def _columns(encode: bool, model, options: dict):
+def _encoded(check: bool, model, options: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value, **options)
-        for batch in batches:
-            if encode:
-                ids = batch.column("_key").to_pylist()
-                packed = list(e.encode(batch.column("_text").to_pylist(), ids))
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):  # what is in Python at once is small
+                batch = whole.slice(at, BATCH)
+                texts = batch.column("_text").to_pylist()
+                packed = list(e.encode(texts, batch.column("_key").to_pylist()))
                 counts = [None if p is None else len(p) // e.pieces.dtype.itemsize for p in packed]
                 rest = batch.drop_columns(["_key", "_text"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(packed, pa.binary()), pa.array(counts, pa.int64())], [*rest.schema.names, "pieces", "n_pieces"])
-            else:
-                text = [e.decode(p) for p in batch.column("_pieces").to_pylist()]
-                rest = batch.drop_columns(["_pieces"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(text, pa.string())], [*rest.schema.names, "decoded"])
+                columns, names = [*rest.columns, pa.array(packed, pa.binary()), pa.array(counts, pa.int64())], [*rest.schema.names, "pieces", "n_pieces"]
+                if check:
+                    back = [e.decode(p) for p in packed]
+                    columns.append(pa.array([None if b is None else hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back], pa.string()))
+                    columns.append(pa.array([a == b for a, b in zip(texts, back, strict=True)]))
+                    names += ["decoded_sha256", "lossless"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+def _decoded(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(model.value)
+        for batch in batches:
+            text = [e.decode(p) for p in batch.column("_pieces").to_pylist()]
+            rest = batch.drop_columns(["_pieces"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(text, pa.string())], [*rest.schema.names, "decoded"])
 
     return run
 
@@ -310,21 +326,25 @@ def _kinds(df: DataFrame, names: list[str]) -> str:
     return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, **options) -> DataFrame:
-    """The columns in keep (all if None) with pieces (packed numbers) and n_pieces, in place and without a shuffle."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "n_pieces")]
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, check: bool = False, **options) -> DataFrame:
+    """The columns in keep (all if None) with pieces (packed numbers) and n_pieces, in place and without a shuffle.
+
+    check: also decodes, and adds decoded_sha256 and lossless.
+    """
+    more = ["decoded_sha256", "lossless"] if check else []
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "n_pieces", *more)]
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], F.pmod(F.xxhash64(F.lit(options.get("seed", SEED)), docs[f"`{id_col}`"]), F.lit(1 << 30)).alias("_key"), docs[f"`{text_col}`"].alias("_text"))
-    return rows.mapInArrow(_columns(True, _sent(docs.sparkSession, model), options), f"{_kinds(docs, keep)}pieces binary, n_pieces long")
+    checked = ", decoded_sha256 string, lossless boolean" if check else ""
+    return rows.mapInArrow(_encoded(check, _sent(docs.sparkSession, model), options), f"{_kinds(docs, keep)}pieces binary, n_pieces long{checked}")
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces_col: str = "pieces") -> DataFrame:
     """encoded with the column decoded."""
     keep = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*[encoded[f"`{c}`"] for c in keep], encoded[f"`{pieces_col}`"].alias("_pieces"))
-    return rows.mapInArrow(_columns(False, _sent(encoded.sparkSession, model), {}), f"{_kinds(encoded, keep)}decoded string")
+    return rows.mapInArrow(_decoded(_sent(encoded.sparkSession, model)), f"{_kinds(encoded, keep)}decoded string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs))
-    return both.select("doc_id", "n_pieces", "pieces", F.sha2("decoded", 256).alias("decoded_sha256"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
+    return encode(docs, keep=["doc_id"], check=True).select("doc_id", "n_pieces", "pieces", "decoded_sha256", "lossless")

@@ -263,6 +263,8 @@ def test_pieces(spark, docs, none):
             assert np.frombuffer(r.pieces, "<u2").tolist() == sp.encode(r.text)
     one, same, other = ({r.doc_id: r.pieces for r in pieces.encode(df, seed=s).collect()} for s in (1, 1, 2))
     assert one == same and one != other
+    checked = pieces.encode(df, check=True).collect()
+    assert all(r.lossless for r in checked) and {r.doc_id: r.decoded_sha256 for r in checked}[0] == hashlib.sha256(texts[0].encode()).hexdigest()
     assert pieces.encode(none).collect() == [] and len(pieces.encode(docs).collect()) == len(ROWS)
 
 
