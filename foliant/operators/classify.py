@@ -158,3 +158,103 @@ def carried_law(citations: DataFrame, group: list[str], order: list[str]) -> Dat
     own = F.coalesce(F.col("law_key"), F.when(F.col("kind") == "اصل", F.lit("constitution")))
     c = citations.withColumn("source", F.when(own.isNotNull(), "text").otherwise("rules")).withColumn("law_key", F.coalesce(own, F.last(own, ignorenulls=True).over(w)))
     return c.filter("law_key is not null")
+
+
+def subject_from_articles(articles: DataFrame, laws: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, subject, confidence: votes of articles that name their law, by field. laws: law_key, subject_key."""
+    known = laws.filter("subject_key is not null").select("law_key", "subject_key").dropDuplicates(["law_key"])
+    v = vote(articles.filter("source = 'text'").join(known, "law_key").withColumn("weight", field_weight(F.coalesce("field", F.lit("")))), ids, "subject_key", "weight")
+    return v.select(*ids, F.col("winner").alias("subject"), F.round(0.6 + 0.3 * F.col("score") / F.col("total"), 2).alias("confidence"))
+
+
+def subject_from_keywords(scores: DataFrame, topics: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, subject: the best topic and a quarter of the others, if that is 2 or more and 1.5 times the next subject's.
+
+    scores: ids, topic, score (in quarters); topics: topic, subject_key.
+    """
+    s = scores.join(topics.select("topic", "subject_key"), "topic").groupBy(*ids, "subject_key").agg((F.max("score") * 3 + F.sum("score")).alias("weight"))
+    v = vote(s, ids, "subject_key", "weight")  # weights are 16 times the score
+    return v.filter("score >= 32 and score * 2 >= runner_up * 3").select(*ids, F.col("winner").alias("subject"))
+
+
+def innermost_heading(path: Column, names: DataFrame) -> Column:
+    """The subject of the innermost heading that names one; names: heading, subject_key (a small dimension, as a literal map)."""
+    pairs = names.limit(1000).collect()
+    known = F.create_map(*[F.lit(x) for r in pairs for x in (r.heading, r.subject_key)])
+    found = F.filter(F.transform(F.reverse(path), lambda h: F.try_element_at(known, heading_key(h))), lambda s: s.isNotNull())
+    return F.get(found, F.lit(0))
+
+
+def topic_from_articles(articles: DataFrame, ranges: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, topic, confidence: each article votes for its most specific topic. ranges: law_key, topic, lo, hi, topic_order, unverified."""
+    n = t.leading_number(F.col("number"))
+    a = articles.withColumn("n", n).filter("n is not null and law_key is not null")
+    r = ranges.withColumnRenamed("law_key", "key")
+    hit = first_range(a, r, F.col("law_key"), F.col("n"), ["topic", "unverified"], [F.col("hi") - F.col("lo"), F.col("topic_order")]).filter("topic is not null")
+    weight = field_weight(F.coalesce("field", F.lit(""))) * F.when(F.col("source") == "text", 5).otherwise(3)
+    v = vote(hit.withColumn("weight", weight), ids, "topic", "weight")
+    sure = ranges.groupBy(F.col("topic").alias("winner")).agg(F.max("unverified").alias("unverified"))
+    return v.join(sure, "winner").select(*ids, F.col("winner").alias("topic"), F.when(F.col("unverified"), 0.65).otherwise(0.85).alias("confidence"))
+
+
+def topic_from_keywords(scores: DataFrame, ids: list[str]) -> DataFrame:
+    """ids, topic, confidence: the strictly best topic of at least 2; scores in quarters."""
+    v = vote(scores, ids, "topic", "score").filter("score >= 8 and score > runner_up")
+    return v.select(*ids, F.col("winner").alias("topic"), F.least(F.lit(0.75), F.round(0.35 + 0.05 * F.col("score") / 4, 2)).alias("confidence"))
+
+
+def topic_from_heading(rows: DataFrame, path: str, topics: DataFrame, ids: list[str], most: int = 2000) -> DataFrame:
+    """ids, topic, confidence: the innermost heading's topic by name (0.9), by shared words (0.85), or its own title (0.7).
+
+    topics: subject_key, topic, topic_order; rows: ids, subject_key, path. Topics of a subject are an array in the row.
+    """
+    title = t.heading_title(t.display_form(F.element_at(F.col(path), -1)))
+    packed = topics.groupBy("subject_key").agg(F.array_sort(F.collect_list(F.struct("topic_order", "topic", t.comparison_form(F.col("topic")).alias("form")))).alias("topics"))
+    h = rows.filter(F.size(path) > 0).withColumn("title", title).withColumn("form", t.comparison_form(F.col("title"))).filter("form <> ''").join(packed, "subject_key", "left")
+    have = F.coalesce("topics", F.array().cast(packed.schema["topics"].dataType))
+    named = F.filter(have, lambda x: (x["form"] == F.col("form")) | F.contains(F.col("form"), x["form"]) | ((F.char_length("form") > 4) & F.contains(x["form"], F.col("form"))))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: (F.char_length(w) > 2) & (w != "و"))
+    shared = F.filter(have, lambda x: (F.size(words(x["form"])) > 0) & (F.size(F.array_intersect(words(x["form"]), F.split("form", " "))) >= F.greatest(F.lit(1), F.size(words(x["form"])) - 1)))
+    best = F.coalesce(F.get(named, F.lit(0))["topic"], F.get(shared, F.lit(0))["topic"], F.col("title"))
+    confidence = F.when(F.size(named) > 0, 0.9).when(F.size(shared) > 0, 0.85).otherwise(0.7)
+    return h.select(*ids, best.alias("topic"), confidence.alias("confidence"))
+
+
+def classify_questions(questions: DataFrame, by_blueprint: DataFrame, by_articles: DataFrame, by_heading: Column, by_keywords: DataFrame, ids: list[str]) -> DataFrame:
+    """questions with subject_key, subject_confidence and subject_source by the order in which evidence counts.
+
+    A person's choice stays; then blueprint, articles, the innermost heading, keywords, the document's dominant subject (for
+    questions that have nothing better), the default, what the parser left, an AI's answer, nothing. The three tables: ids,
+    subject and, for articles, confidence; questions: ids, project_id, default_subject, subject_key, subject_source, subject_confidence.
+    """
+    q = questions.withColumn("_heading", by_heading)
+    for name, found in (("_blueprint", by_blueprint), ("_articles", by_articles), ("_keywords", by_keywords)):
+        columns = [F.col("subject").alias(name)] + ([F.col("confidence").alias("_sure")] if name == "_articles" else [])
+        q = q.join(found.select(*ids, *columns), ids, "left")
+    c = candidate
+    manual = F.when(F.col("subject_source") == "manual", F.col("subject_key"))
+    strong = [c(F.col("_blueprint"), 1.0, "blueprint"), c(F.col("_articles"), F.col("_sure"), "text"), c(F.col("_heading"), 0.8, "heading")]
+    kept = [c(F.when(F.col("subject_source").isNull(), F.col("subject_key")), 0.6, "heading"), c(F.when(F.col("subject_source") == "ai", F.col("subject_key")), F.coalesce("subject_confidence", F.lit(0.0)), "ai")]
+    first = q.withColumn("_best", precedence(c(manual, F.coalesce("subject_confidence", F.lit(1.0)), "manual"), *strong, c(F.col("_keywords"), 0.5, "rules"), c(F.col("default_subject"), 0.5, "default"), *kept))
+    sure = first.filter(F.col("_best.source").isin("blueprint", "text", "heading", "manual", "ai")).select("project_id", F.col("_best.value").alias("subject"))
+    hint = dominant(sure, ["project_id"], "subject").select("project_id", F.col("hint").alias("_hint"))
+    second = first.join(hint, "project_id", "left")
+    weak = F.col("_best").isNull() | (F.col("_best.source") == "default")
+    best = F.when(weak & F.col("_hint").isNotNull(), c(F.col("_hint"), 0.45, "rules")).otherwise(F.col("_best"))
+    second = second.withColumn("_best", best)
+    return second.withColumns({"subject_key": F.col("_best.value"), "subject_confidence": F.col("_best.confidence"), "subject_source": F.col("_best.source")}).select(*questions.columns)
+
+
+def needs_ai(threshold: float = 0.6) -> Column:
+    """Subject or topic is missing or unsure, and no person chose it."""
+
+    def open_(value: str, confidence: str, source: str) -> Column:
+        lacks = (F.coalesce(value, F.lit("")) == "") | (F.coalesce(confidence, F.lit(0.0)) < threshold)
+        return lacks & ~F.coalesce(F.col(source) == "manual", F.lit(False))
+
+    return open_("subject_key", "subject_confidence", "subject_source") | open_("topic", "topic_confidence", "topic_source")
+
+
+def pick_blueprint(blueprints: DataFrame, track: str, year: int) -> DataFrame:
+    """The blueprint of the track and year, else the track's latest."""
+    return blueprints.filter(F.col("track") == track).orderBy(F.desc(F.col("year") == year), F.desc("year"), "code").limit(1)

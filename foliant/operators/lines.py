@@ -89,3 +89,13 @@ def merge_bands(spans: DataFrame, group: list[str], lo: str, hi: str, gap: Colum
     s = spans.withColumn("_new", F.coalesce((F.col(lo) - reach > gap).cast("int"), F.lit(1)))
     s = s.withColumn("_band", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return s.groupBy(*group, "_band").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("spans")).drop("_band")
+
+
+def at_most_bands(bands: DataFrame, group: list[str], lo: str, hi: str, most: int = 6) -> DataFrame:
+    """Bands merged over their smallest gaps until at most `most` are left in each group: the largest gaps stay cuts."""
+    order = Window.partitionBy(*group).orderBy(lo)
+    b = bands.withColumn("_gap", F.col(lo) - F.lag(hi).over(order))
+    b = b.withColumn("_nth", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc_nulls_last("_gap"), lo)))
+    cut_here = F.col("_gap").isNotNull() & (F.col("_nth") < most)
+    b = b.withColumn("_band", F.sum(cut_here.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return b.groupBy(*group, "_band").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_band")

@@ -165,3 +165,37 @@ def test_streaming(spark, tmp_path):
     q = uploads.job_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("jobs").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("jobs").count() == 1
+
+
+def test_subject_precedence(spark):
+    ids = ["project_id", "seq"]
+    q = spark.createDataFrame([("p", i, "civil", None, None, None, p) for i, p in enumerate([[], [], ["بخش اول: حقوق تجارت"], [], []])] + [("p", 5, "civil", "x", "manual", 1.0, [])], "project_id string, seq int, default_subject string, subject_key string, subject_source string, subject_confidence double, path array<string>")
+    empty = spark.createDataFrame([], "project_id string, seq int, subject string")
+    bp = spark.createDataFrame([("p", 0, "criminal"), ("p", 4, "commercial")], "project_id string, seq int, subject string")
+    arts = spark.createDataFrame([("p", 1, "m", "text", "stem", "۱۰"), ("p", 1, "t", "text", "explanation", "۲")], "project_id string, seq int, law_key string, source string, field string, number string")
+    laws = spark.createDataFrame([("m", "civil"), ("t", "commercial")], "law_key string, subject_key string")
+    found = classify.subject_from_articles(arts, laws, ids)
+    heading = classify.innermost_heading(F.col("path"), classify.subject_names(spark))
+    out = {r.seq: (r.subject_key, r.subject_source) for r in classify.classify_questions(q, bp, found, heading, empty, ids).collect()}
+    assert out[0] == ("criminal", "blueprint") and out[1] == ("civil", "text") and out[5] == ("x", "manual") and out[3] == ("civil", "default")
+    ranges = spark.createDataFrame([("m", "general", 1, 1000, 0, False), ("m", "special", 5, 15, 1, True)], "law_key string, topic string, lo int, hi int, topic_order int, unverified boolean")
+    assert [(r.topic, r.confidence) for r in classify.topic_from_articles(arts, ranges, ids).collect()] == [("special", 0.65)]
+    scores = classify.keyword_scores(spark.createDataFrame([("p", 1, "stem", "عقد بیع و خیار است")], "project_id string, seq int, field string, text string"), spark.createDataFrame([("بیع", "عقد بیع"), ("اجاره", "اجاره")], "topic string, keyword string"), ids)
+    assert [(r.topic, r.score) for r in scores.collect()] == [("بیع", 16)]
+    assert classify.topic_from_keywords(scores, ids).first().topic == "بیع"
+    assert classify.subject_from_keywords(scores, spark.createDataFrame([("بیع", "civil")], "topic string, subject_key string"), ids).first().subject == "civil"
+    rows = spark.createDataFrame([("p", 1, "commercial", ["فصل نخست: تعریف تاجر"]), ("p", 2, "commercial", ["فصل دوم: چیز دیگر"])], "project_id string, seq int, subject_key string, path array<string>")
+    topics = spark.createDataFrame([("commercial", "تاجر و تعریف آن", 0)], "subject_key string, topic string, topic_order int")
+    assert {r.seq: r.topic for r in classify.topic_from_heading(rows, "path", topics, ids).collect()} == {1: "تاجر و تعریف آن", 2: "چیز دیگر"}
+
+
+def test_layout(spark):
+    from foliant.operators import layout
+
+    words = [("سلام", 0.8, 0.1, 0.9, 0.12), ("دنیا", 0.6, 0.102, 0.7, 0.122), ("Spark", 0.5, 0.1, 0.58, 0.12), ("4.1", 0.35, 0.1, 0.45, 0.12), ("دوم", 0.8, 0.2, 0.9, 0.22)]
+    df = spark.createDataFrame([("d", 0, *w) for w in words], "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.text for r in layout.page_lines(df).orderBy("line_no").collect()] == ["سلام دنیا 4.1 Spark", "دوم"]
+    parts = [layout.Piece("left", 0.1, 0.1, 0.4, 0.12), layout.Piece("right", 0.5, 0.1, 0.9, 0.12), layout.Piece("next", 0.1, 0.2, 0.9, 0.22)]
+    assert [x.text for x in layout.right_parts_first(parts)] == ["right", "left", "next"]
+    bands = spark.createDataFrame([(0.1 * i + (0.02 if i > 3 else 0), 0.1 * i + 0.05 + (0.02 if i > 3 else 0)) for i in range(8)], "lo double, hi double").withColumn("g", F.lit(1))
+    assert lines.at_most_bands(bands, ["g"], "lo", "hi", 3).count() == 3
