@@ -199,3 +199,26 @@ def test_layout(spark):
     assert [x.text for x in layout.right_parts_first(parts)] == ["right", "left", "next"]
     bands = spark.createDataFrame([(0.1 * i + (0.02 if i > 3 else 0), 0.1 * i + 0.05 + (0.02 if i > 3 else 0)) for i in range(8)], "lo double, hi double").withColumn("g", F.lit(1))
     assert lines.at_most_bands(bands, ["g"], "lo", "hi", 3).count() == 3
+
+
+def test_records(spark):
+    from foliant.operators import records
+
+    q = spark.createDataFrame([("p", 1, "stem", [("1", "a"), ("2", "")], None), ("p", 2, "", [], "why")], "project_id string, number int, stem string, options array<struct<key:string,text:string>>, explanation string")
+    assert [(r.number, r.field) for r in records.question_fields(q, ["project_id", "number"]).orderBy("number", "field_no").collect()] == [(1, "stem"), (1, "option:1"), (2, "explanation")]
+    assert records.detect_mode(q).first().mode == "text"
+    a = spark.createDataFrame([(1, 0, "k", "l", "ماده", "1", ""), (1, 1, "k", "other", "ماده", "1", ""), (1, 2, None, "l", "ماده", "1", "")], "q int, i int, law_key string, law string, kind string, number string, clause string")
+    assert [r.i for r in records.distinct_articles(a, ["q"], ["i"]).orderBy("i").collect()] == [0, 2]
+    box = [("q", "b", 0, i, (0.1 * i, 0.2, 0.5, 0.3)) for i in (1, 2, 2)]
+    r = records.regions(spark.createDataFrame(box, f"q string, doc string, page int, line_no int, bbox {g.BOX}"), ["q"]).first().regions
+    assert len(r) == 1 and (r[0].bbox.x0, r[0].bbox.x1) == (0.1, 0.5)
+    gaps = spark.createDataFrame([("d", 0, i, y, y + 0.02, 0.1) for i, y in enumerate((0.1, 0.13, 0.17, 0.3))], "doc string, page int, line_no int, y0 double, y1 double, x0 double")
+    assert round(records.usual_gap(gaps).first().gap, 2) == 0.02
+    cells = spark.createDataFrame([(i, v) for i, v in enumerate("x..x....x")], "i int, v string").withColumn("g", F.lit(1))
+    assert records.longest_run(cells, ["g"], "i", F.col("v") == ".").first().longest == 4
+    p = spark.createDataFrame([("a", "ready", "questions"), ("b", "ready", "questions"), ("c", "failed", "questions")], "id string, status string, mode string")
+    sent = spark.createDataFrame([("a", "approved"), ("b", "pending")], "project_id string, status string")
+    assert {r.project_id: r.outcome for r in records.push_results(p, sent).collect()} == {"a": "send", "b": "nothing_approved", "c": "not_ready"}
+    noise = spark.createDataFrame([("متن ۱۲", 0, 0.01, 0.05, 0.6), ("متن میانه", 5, 0.4, 0.42, 0.6)], "x string, nth int, y0 double, y1 double, w double")
+    noise = noise.select(records.band_noise(g.box(F.lit(0.1), F.col("y0"), F.lit(0.1) + F.col("w"), F.col("y1")), F.col("nth"), F.lit(20), F.col("x"), F.lit(0.0), F.lit(False), F.lit(False)).alias("n"))
+    assert [r.n for r in noise.collect()] == [True, False]
