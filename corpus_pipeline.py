@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from foliant.llm import line_dedup, mixing, near_dedup, pieces, quality
 from foliant.llm.runtime import cut
+from foliant.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on labels of these documents, does not reject."""
+    ship(spark)
     return quality.keep_good(spark, docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,6 +32,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id."""
+    ship(spark)
     return near_dedup.keep_first(docs).select(COLUMNS)
 
 
@@ -40,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, pieces (packed numbers) and n_pieces."""
+    ship(spark)
     return pieces.encode(docs, keep=["doc_id", "lang", "source"])
 
 
