@@ -2,10 +2,10 @@
 
 1. sets      A text (A-Z lower-cased) becomes the set of its distinct 5-word shingles, as sorted 64-bit hashes. Documents
              with equal sets are one class: copies cost one row each from here on and are never paired.
-2. signature SuperMinHash: every shingle deals itself to all 128 slots by its own random permutation, in rounds; the value
+2. signature SuperMinHash: every shingle deals itself to all 256 slots by its own random permutation, in rounds; the value
              is the round plus a random fraction, so ranks of one shingle are correlated over slots and lower the variance.
              A document stops at the round after which no slot can fall any more, which for long texts is the first.
-3. bands     32 bands of 4 slots. A band's value that two classes share makes a bucket. At similarity 0.75 a pair shares
+3. bands     32 bands of 4 of the slots. A band's value that two classes share makes a bucket. At similarity 0.75 a pair shares
              no bucket with probability (1 - 0.75**4)**32 = 5e-6. Band values are dealt and sorted once, and read in order.
 4. bounds    Of each class in a bucket, the shingles that any other such class has are counted (hashes cut to 32 bits, so
              that a count may be too large and is never too small). With n and m shingles, s and t of them shared with
@@ -14,9 +14,9 @@
 5. stars     No bucket is expanded into its pairs. Each class proposes one link, to the class with the least hash among
              its buckets; links are checked on the full sets and grouped. Most groups are whole after that.
 6. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
-             blocks that can hold such a pair is compared at once, by the bounds and by 128-byte sketches of the signatures,
-             which drop pairs whose estimate is below 0.75 by more than 0.25 (6 standard deviations); a pair is looked at in
-             its first bucket only. First the best partner of each class is checked, groups are joined, and then every pair
+             blocks that can hold such a pair is compared at once, by the bounds and by 256-byte sketches of the signatures,
+             which drop pairs whose estimate is below 0.75 by more than 0.135 (5 standard deviations: 3e-7); a pair is
+             looked at in its first bucket only. First the best partner of each class is checked, groups are joined, and then every pair
              that is still across groups: no link is lost to a cap.
 7. groups    Union-find in each task over its links, then large-star and small-star steps between tasks until nothing
              changes. Links and groups stay in tables.
@@ -42,10 +42,10 @@ from foliant.llm.arrays import LOWER, WORDS, grams, mix, runs, strings, token_ha
 from foliant.llm.runtime import Cut, columns_for, cut, join_per_key
 
 WIDTH = 5
-SLOTS, BANDS = 128, 32
+SLOTS, BANDS, ROWS = 256, 32, 4
 PERCENT = 75
-#: An estimate over 128 slots is off by 0.038 (one standard deviation) at most.
-MARGIN = 0.25
+#: Five standard deviations (0.027 at most) of an estimate over 256 slots.
+MARGIN = 0.135
 BLOCK = 2000
 #: Shingles that one task counts.
 PART_ITEMS = 2_000_000
@@ -109,7 +109,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in shingle_sets(batch.column("text")):
             group.append(s)
             size += len(s)
-            if size > 200_000:
+            if size > 100_000:
                 ids.append(_rows(batch.slice(first, len(group)), group))
                 first, group, size = first + len(group), [], 0
         if group:
@@ -121,7 +121,7 @@ def _rows(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
     sig = signatures(sets)
     seeds = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     keys = np.zeros((len(sets), BANDS), np.uint64) + seeds
-    for column in np.moveaxis(sig.reshape(len(sets), BANDS, -1), 2, 0):
+    for column in np.moveaxis(sig[:, : BANDS * ROWS].reshape(len(sets), BANDS, ROWS), 2, 0):
         keys = mix(keys ^ column)
     tags = (sig & np.uint64(255)).astype(np.uint8)
     bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * BANDS + 1, BANDS), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
@@ -302,7 +302,7 @@ def stars(links: DataFrame, per_task: int = 200_000) -> DataFrame:
 def _across(cls: list, root: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray, tags: np.ndarray, band: int, best_only: bool, threshold: float, percent: int) -> Iterator[tuple]:
     """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) that may be alike and whose groups differ."""
     right = np.flatnonzero(side != 1)
-    bands = tags.reshape(len(tags), BANDS, -1)
+    bands = tags[:, : BANDS * ROWS].reshape(len(tags), BANDS, ROWS)
     for i in np.flatnonzero(side != 2):
         bound = (100 + percent) * np.minimum(s[right], s[i]) >= percent * (n[right] + n[i])
         at = right[(root[right] != root[i]) & bound & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
