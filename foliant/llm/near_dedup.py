@@ -49,7 +49,7 @@ MARGIN = 0.135
 BLOCK = 2000
 #: Shingles that one task counts.
 PART_ITEMS = 2_000_000
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:

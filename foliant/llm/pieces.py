@@ -36,7 +36,7 @@ from foliant.llm.arrays import mix, token_hashes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 1
 #: Distinct (unit, variant) whose pieces a worker keeps, and characters that are worked on at once.
-KEPT, RUN_CHARS = 300_000, 1 << 20
+KEPT, RUN_CHARS = 150_000, 1 << 20
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 BATCH = 1000

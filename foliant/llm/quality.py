@@ -29,6 +29,8 @@ from foliant.llm.runtime import columns_for
 BITS = 18
 MAX_LABELLED = 6000
 THRESHOLD = 0.3
+#: Rows that are filtered at once.
+BATCH = 1000
 #: Places of a pair of equal tokens and of a triple with equal ends.
 TWICE, AGAIN = 0, 1
 #: Shares are small numbers; this brings them near 1.
@@ -163,10 +165,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scored = _scores(sent)
-        for batch in batches:
-            pair = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], ["id", "text"])
-            keep = np.concatenate([x.column("score").to_numpy() for x in scored(iter([pair]))]) >= threshold
-            yield batch.filter(pa.array(keep))
+        for whole in batches:
+            for at in range(0, len(whole), BATCH):
+                batch = whole.slice(at, BATCH)
+                pair = pa.RecordBatch.from_arrays([batch.column("text"), batch.column("text")], ["id", "text"])
+                keep = next(scored(iter([pair]))).column("score").to_numpy() >= threshold
+                yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema).select(*names)
 
