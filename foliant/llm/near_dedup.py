@@ -16,7 +16,7 @@
 6. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
              blocks that can hold such a pair is compared at once, by the bounds and by 256-byte sketches of the signatures,
              which drop pairs whose estimate is below 0.75 by more than 0.135 (5 standard deviations: 3e-7); a pair is
-             looked at in its first bucket only. First the best partner of each class is checked, groups are joined, and then every pair
+             looked at in its first bucket only, the first band whose whole keys are equal. First the best partner of each class is checked, groups are joined, and then every pair
              that is still across groups: no link is lost to a cap.
 7. groups    Union-find in each task over its links, then large-star and small-star steps between tasks until nothing
              changes. Links and groups stay in tables.
@@ -299,20 +299,22 @@ def stars(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     return before.frame.select(F.col("a").alias("cls"), F.col("b").alias("root")).distinct()
 
 
-def _across(cls: list, root: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray, tags: np.ndarray, band: int, best_only: bool, threshold: float, percent: int) -> Iterator[tuple]:
-    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) that may be alike and whose groups differ."""
+def _across(cls: list, root: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray, tags: np.ndarray, bands: np.ndarray | None, band: int, threshold: float, percent: int) -> Iterator[tuple]:
+    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) that may be alike and whose groups differ.
+
+    bands: the keys of all bands of each class; without them, only the best partner of each class.
+    """
     right = np.flatnonzero(side != 1)
-    bands = tags[:, : BANDS * ROWS].reshape(len(tags), BANDS, ROWS)
     for i in np.flatnonzero(side != 2):
         bound = (100 + percent) * np.minimum(s[right], s[i]) >= percent * (n[right] + n[i])
         at = right[(root[right] != root[i]) & bound & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
         if len(at):
             alike = (tags[at] == tags[i]).mean(axis=1)
-            if best_only:
+            if bands is None:
                 at = at[alike == max(alike.max(), threshold)][:1]
             else:
                 at = at[alike >= threshold]
-                at = at[(bands[at] == bands[i]).all(axis=2).argmax(axis=1) == band]  # the first bucket that both are in
+                at = at[(bands[at] == bands[i]).argmax(axis=1) == band]  # the first bucket that both are in
             for j in at:
                 yield min(cls[i], cls[j]), max(cls[i], cls[j])
 
@@ -336,10 +338,11 @@ def _crossing(best_only: bool, threshold: float, percent: int):
             cls, n, s, side, band = table["cls"].to_pylist(), *(table[c].to_numpy() for c in ("n", "s", "side", "band"))
             root = np.array([known.setdefault(r, len(known)) for r in table["root"].to_pylist()])
             tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(len(cls), SLOTS)
+            bands = None if best_only else table["bands"].combine_chunks().flatten().to_numpy().reshape(len(cls), BANDS)
             out = set()
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y - x > 1:
-                    out.update(_across(cls[x:y], root[x:y], n[x:y], s[x:y], side[x:y], tags[x:y], int(band[x]), best_only, threshold, percent))
+                    out.update(_across(cls[x:y], root[x:y], n[x:y], s[x:y], side[x:y], tags[x:y], None if best_only else bands[x:y], int(band[x]), threshold, percent))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -358,7 +361,8 @@ def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only
     # the largest group of a bucket needs no comparison with itself
     per_key = per_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
     per_key = per_key.select("key", F.col("most.root").alias("main"), F.ceil(F.col("most.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).cast("int").alias("others"))
-    m = m.join(per_key, "key").join(nodes.select("cls", "n", "s", "tags"), "cls")
+    sketch = ["n", "s", "tags"] if best_only else ["n", "s", "tags", "bands"]
+    m = m.join(per_key, "key").join(nodes.select("cls", *sketch), "cls")
     is_main = F.col("root") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(F.hash("cls"), F.col("mains"))).otherwise(F.pmod(F.hash("cls"), F.col("others")))
     m = m.withColumn("block", block)
@@ -367,7 +371,7 @@ def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only
     up = F.transform(F.sequence(F.col("block"), last), lambda x: F.struct(F.col("block").alias("p"), x.alias("q"), F.when(x == F.col("block"), 0).otherwise(1).alias("side")))
     down = F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda x: x < F.col("block")), lambda x: F.struct(x.alias("p"), F.col("block").alias("q"), F.lit(2).alias("side")))
     m = m.withColumn("at", F.explode(F.when(is_main, down).otherwise(F.concat(up, down))))
-    m = m.select("key", "band", "at.p", "at.q", "at.side", "cls", "root", "n", "s", "tags")
+    m = m.select("key", "band", "at.p", "at.q", "at.side", "cls", "root", *sketch)
     m = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
     return m.mapInArrow(_crossing(best_only, threshold, percent), "a binary, b binary").distinct()
 
@@ -388,7 +392,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = rows.filter("n > 0").select("cls", F.posexplode("bands").alias("band", "key"))
     members = cut(at.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "cls binary, key long, band int"), "members")
     wanted = members.select("cls").distinct()
-    nodes = cut(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tags", "id"), "nodes")
+    nodes = cut(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tags", "bands", "id"), "nodes")
     # what has a partner grows with the input, so it is never broadcast
     mine = texts.select("id", "text").join(nodes.select(F.col("id").alias("_id")).hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     sets = mine.mapInArrow(_sets, "cls binary, cid long, items binary")

@@ -95,6 +95,20 @@ def test_near_dedup_chains_against_brute_force(spark):
     assert {r.doc_id: (r.component_id, r.n_shingles) for r in out} == {i: (root[i], len(sets[i])) for i in range(len(rows))}
 
 
+def test_near_dedup_takes_buckets_by_whole_keys(spark):
+    """Tags of an earlier band that agree by chance don't hide a pair from the bucket that both are in."""
+    tags = bytes(range(256))
+    bands = np.arange(2 * near_dedup.BANDS).reshape(2, -1) + 100
+    bands[:, 3] = 7
+    nodes = [(bytes([k]), 100, 100, tags, bands[k].tolist()) for k in (0, 1)]
+    nodes = spark.createDataFrame(nodes, "cls binary, n long, s long, tags binary, bands array<long>")
+    members = spark.createDataFrame([(7, 3, bytes([k])) for k in (0, 1)], "key long, band int, cls binary")
+    none = spark.createDataFrame([], "cls binary, root binary")
+    for best_only in (True, False):
+        found = near_dedup.crossings(members, none, nodes, best_only, 0.6, 75).collect()
+        assert [(bytes(r.a), bytes(r.b)) for r in found] == [(b"\0", b"\1")]
+
+
 def test_superminhash_estimates():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
