@@ -184,6 +184,18 @@ def test_licences(spark, docs, none):
     assert len(licences.scan(docs).collect()) == len(ROWS) and licences.scan(none).collect() == []
 
 
+def test_licences_over_several_lines(spark):
+    """Wrapped headers within a longer file, notices within a longer line, and whole licence texts."""
+    wrap = lambda text, n: ["# " + " ".join(w) for w in (text.split()[i : i + n] for i in range(0, len(text.split()), n))]
+    header = wrap(licences.TEMPLATES["GPL-3.0 (header)"], 7)
+    body = [f"alpha{i} beta{i} gamma{i}" for i in range(200)]
+    mit = "MIT License\n\nCopyright (c) 2020 Someone\n\n" + "\n".join(wrap(licences.TEMPLATES["MIT (full)"], 9))
+    texts = ["\n".join([*body[:3], "", *header, *body]), "a b c d e f g h i j k l, released under the MIT License. m n o p q r s t u v w", mit + "\n" + "\n".join(body), licences.TEMPLATES["GPL-3 (full)"], "\n".join(body)]
+    out = {r.doc_id: {(f.line, f.licence): f.similarity for f in r.found} for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[0] == {(4, "GPL-3.0 (header)"): 1.0} and out[1] == {(0, "MIT"): 1.0} and out[4] == {}
+    assert out[2] == {(4, "MIT (full)"): 1.0} and out[3][-1, "GPL-3 (full)"] == 1.0
+
+
 def test_licence_similarity_is_dice(spark):
     """Every unit and template by brute force, at a low threshold."""
     texts = ["licensed under the apache license version 2", "this work is licensed under the gnu general public license version 3 or later", "permission is granted", "all rights are reserved", "all rights reserved all rights reserved"]
