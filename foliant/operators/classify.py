@@ -143,12 +143,14 @@ def law_keys(aliases: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.min("law_key").alias("law_key"))
 
 
-def law_after(rows: DataFrame, after: str, aliases: DataFrame, longest: int = 8) -> DataFrame:
+def law_after(rows: DataFrame, after: str, aliases: DataFrame) -> DataFrame:
     """rows with law_key of the longest alias that the text begins with (null if none): an equi-join on its first words."""
     words = F.split(t.alias_form(F.regexp_replace(F.col(after), r"^\s*(?:از|در)\s+", "")), " ")
+    keys = law_keys(aliases)
+    longest = keys.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     mine = rows.withColumn("_row", F.monotonically_increasing_id())
     heads = mine.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("alias"))
-    hit = heads.join(law_keys(aliases), "alias").groupBy("_row").agg(F.max_by("law_key", F.char_length("alias")).alias("law_key"))
+    hit = heads.join(keys, "alias").groupBy("_row").agg(F.max_by("law_key", F.char_length("alias")).alias("law_key"))
     return mine.join(hit, "_row", "left").drop("_row")
 
 

@@ -100,6 +100,14 @@ def test_classification(spark):
     assert {r.a: r.law_key for r in classify.law_after(after, "a", laws).collect()} == {"قانون تجارت الکترونیکی مصوب": "e", "ق.م.ا": "penal", "از قانون تجارت است": "commercial", "هیچ": None}
 
 
+def test_law_names_of_any_length(spark):
+    name = "قانون آیین دادرسی دادگاه های عمومی و انقلاب در امور مدنی"
+    laws = spark.createDataFrame([(name, "civil"), ("قانون آیین دادرسی", "short")], "name string, law_key string")
+    after = spark.createDataFrame([(f"{name} مصوب",), ("قانون آیین دادرسی کیفری",)], "a string")
+    assert sorted(r.law_key for r in classify.law_after(after, "a", laws).collect()) == ["civil", "short"]
+    assert [r.law_key for r in classify.law_after(after, "a", laws.limit(0)).collect()] == [None, None]
+
+
 def test_quality(spark):
     lexicon = spark.createDataFrame([("کتاب",), ("قانون",)], "word string")
     rows = [("d", 1, "کتاب", 50.0, None), ("d", 1, "ناشناس", 50.0, None), ("d", 1, "قانون", 10.0, None), ("d", 1, "درست", 95.0, None), ("d", 1, "درست", 40.0, None), ("d", 1, "x", None, "disagree")]
