@@ -170,6 +170,20 @@ def learned_words(spark: SparkSession, d: str) -> DataFrame:
     return quality.new_words(w.filter("doc_id % 10 = 0"), w.filter("doc_id % 10 = 1"), lexicon)
 
 
+@query(f"""
+WITH w AS ({_WORDS}), b AS (SELECT unnest(string_split_regex(trim(text), '\\s+')) AS word FROM benchmark),
+v AS (SELECT unnest(string_split_regex(trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g')), ' ')) AS word FROM documents),
+k AS (SELECT DISTINCT {_KEY} AS word FROM w WHERE length({_KEY}) >= 2 EXCEPT (SELECT {_KEY} FROM b UNION ALL SELECT {_KEY} FROM v))
+SELECT word FROM k WHERE NOT regexp_matches(word, '[يكة]')
+  AND NOT coalesce(list_bool_or(list_transform(range(1, length(word) - 1), lambda i: substr(word, i, 1) = substr(word, i + 1, 1) AND substr(word, i, 1) = substr(word, i + 2, 1))), false)
+""")
+def learned_words_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in two roles: its first line is the version before, its whole text the one after."""
+    w, lexicon = _words(spark, d), table(spark, d, "benchmark").select(F.explode(F.split(t.squeeze(F.col("text")), " ")).alias("word"))
+    first = table(spark, d, "documents").select("doc_id", F.explode(F.split(t.squeeze(F.split("text", "\n", 2)[0]), " ")).alias("word"))
+    return quality.new_words(first, w, lexicon)
+
+
 @query("""
 SELECT d.doc_id, CASE WHEN n_chars < 20 OR source = 'src1' THEN 'none' WHEN source = 'src2' THEN 'transcribe' WHEN coalesce(quality, 1) = 0 THEN 'transcribe' WHEN coalesce(toxic, 0) > 0 THEN 'correct' ELSE 'none' END AS mode
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id

@@ -119,6 +119,15 @@ def test_quality(spark):
     assert q[1] >= 0.9 and q[2] < 0.45 and q[3] == 1.0 and q[4] == 0.0
 
 
+def test_learned_words_reads_all_documents(spark, tmp_path):
+    from foliant.plans import texts
+
+    docs = [(i, f"known start{i}\nbench known word{chr(97 + i)}, start{(i + 1) % 20}") for i in range(20)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "bench")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted(r[0] for r in texts.learned_words_all(spark, str(tmp_path)).collect()) == [f"word{chr(97 + i)}" for i in range(20)]
+
+
 def test_corrections(spark):
     w = spark.createDataFrame([("d", 1, 0, k, x, f) for k, (x, f) in enumerate([("یک", None), ("غلظ", "low_conf"), ("سه", "low_conf"), ("غلظ", None)])], "doc string, page int, line int, pos int, text string, flag string")
     c = spark.createDataFrame([("d", 1, 0, "غلظ", "غلط"), ("d", 1, 0, "نیست", "x")], "doc string, page int, line int, wrong string, right string")
