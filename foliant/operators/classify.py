@@ -30,6 +30,15 @@ BLUEPRINTS = (("BAR-1405", "bar", 1405, 140, 170, _BAR), ("CENTER-1404", "center
 HEADING_FILLER = ("درس", "بخش", "قسمت", "مبحث", "دروس", "سوال", "سوالات", "سوالهای", "سوالها", "از", "تا", "شماره", "اول", "دوم", "سوم", "چهارم", "پنجم", "ششم", "هفتم", "هشتم", "نهم", "دهم")
 
 
+#: A dimension of no more rows than this is broadcast.
+DIMENSION = 100_000
+
+
+def small(dimension: DataFrame, most: int = DIMENSION) -> DataFrame:
+    """The dimension, to be broadcast if its rows have been counted to be few; joined by shuffle otherwise."""
+    return F.broadcast(dimension) if dimension.limit(most + 1).count() <= most else dimension
+
+
 def blueprint_ranges(spark: SparkSession) -> DataFrame:
     """(blueprint, range_no, lo, hi, subject_key)"""
     rows = [(code, i, lo, hi, s) for code, _, _, _, _, ranges in BLUEPRINTS for i, (lo, hi, s) in enumerate(ranges)]
@@ -51,23 +60,23 @@ def heading_key(text: Column) -> Column:
     return F.when((F.size(words) <= 10) & F.size(kept).between(1, 6), F.array_join(kept, " "))
 
 
-def in_range(rows: DataFrame, ranges: DataFrame, key: str, value: str, order: str, most: int = 100_000) -> DataFrame:
+def in_range(rows: DataFrame, ranges: DataFrame, key: str, value: str, order: str, most: int = DIMENSION) -> DataFrame:
     """rows with the first range of their key that holds the value (left join). ranges: key, lo, hi, order and more.
 
     Ranges are a dimension: they are broadcast while they are few, and joined by key otherwise.
     """
-    small = F.broadcast(ranges) if ranges.limit(most + 1).count() <= most else ranges
+    few = small(ranges, most)
     mine = rows.withColumn("_row", F.monotonically_increasing_id())
-    hit = mine.join(small, (mine[key] == small[key]) & F.col(value).between(F.col("lo"), F.col("hi"))).drop(small[key])
+    hit = mine.join(few, (mine[key] == few[key]) & F.col(value).between(F.col("lo"), F.col("hi"))).drop(few[key])
     first = Window.partitionBy("_row").orderBy(order)
-    hit = hit.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row", *[c for c in small.columns if c != key])
+    hit = hit.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").select("_row", *[c for c in few.columns if c != key])
     return mine.join(hit, "_row", "left").drop("_row")
 
 
 def first_range(rows: DataFrame, ranges: DataFrame, key: Column, value: Column, take: list[str], order: list[Column]) -> DataFrame:
     """The same with ranges in the row: each key's ranges are one array, so no pair of row and range is ever a row."""
     packed = ranges.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "lo", "hi", *take))).alias("ranges"))
-    out = rows.withColumn("key", key).join(packed, "key", "left")
+    out = rows.withColumn("key", key).join(small(packed), "key", "left")
     hit = F.get(F.filter(F.coalesce("ranges", F.array().cast(packed.schema["ranges"].dataType)), lambda r: value.between(r["lo"], r["hi"])), F.lit(0))
     return out.withColumn("hit", hit).select(*rows.columns, *[F.col(f"hit.{c}").alias(c) for c in take])
 
@@ -95,17 +104,24 @@ def dominant(rows: DataFrame, group: list[str], choice: str, percent: int = 60,
 def keyword_scores(texts: DataFrame, keywords: DataFrame, ids: list[str], form=t.comparison_form) -> DataFrame:
     """ids, topic, score (in quarters): keywords within texts, at word bounds, once for each field.
 
-    texts: ids, field, text; keywords: topic, keyword. A phrase counts 2, a word of up to 3 letters 0.5, another 1, times the
+    texts: ids, field, text (one row for each field); keywords: topic, keyword. A phrase counts 2, a word of up to 3 letters 0.5, another 1, times the
     weight of the field. Single words are an equi-join on tokens; phrases are looked for among the texts that hold their
     first word.
     """
     kw = keywords.select("topic", form(F.col("keyword")).alias("kw")).filter("kw <> ''")
     base = F.when(F.contains("kw", F.lit(" ")), 4).when(F.char_length("kw") <= 3, 1).otherwise(2)
     kw = kw.withColumn("base", base).withColumn("token", F.substring_index("kw", " ", 1))
-    plain = texts.withColumn("plain", form(F.col("text"))).withColumn("token", F.explode(F.array_distinct(F.split("plain", " "))))
-    hit = plain.join(kw, "token").filter(~F.contains("kw", F.lit(" ")) | F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.concat(F.lit(" "), F.col("kw"), F.lit(" "))))
-    hit = hit.select(*ids, "field", "topic", "kw", (F.col("base") * field_weight(F.col("field"))).alias("score"))
-    return hit.groupBy(*ids, "topic").agg(F.sum("score").alias("score"))
+    single, phrases = small(kw.filter(~F.contains("kw", F.lit(" ")))), kw.filter(F.contains("kw", F.lit(" ")))
+    plain = texts.select(*ids, "field", form(F.col("text")).alias("plain"))
+    words = F.array_distinct(F.split("plain", " "))
+    hit = plain.select(*ids, "field", F.explode(words).alias("token")).join(single, "token").select(*ids, "field", "topic", "kw", "base")
+    # a text is carried on only beside words that begin a phrase
+    firsts = [r.token for r in phrases.select("token").distinct().limit(DIMENSION + 1).collect()]
+    begins = F.filter(words, lambda w: w.isin(firsts)) if len(firsts) <= DIMENSION else words
+    whole = F.contains(F.concat(F.lit(" "), F.col("plain"), F.lit(" ")), F.concat(F.lit(" "), F.col("kw"), F.lit(" ")))
+    found = plain.select(*ids, "field", "plain", F.explode(begins).alias("token")).join(small(phrases), "token").filter(whole)
+    hit = hit.unionByName(found.select(*ids, "field", "topic", "kw", "base"))
+    return hit.select(*ids, "topic", (F.col("base") * field_weight(F.col("field"))).alias("score")).groupBy(*ids, "topic").agg(F.sum("score").alias("score"))
 
 
 def precedence(*candidates: Column) -> Column:
@@ -150,7 +166,7 @@ def law_after(rows: DataFrame, after: str, aliases: DataFrame) -> DataFrame:
     longest = keys.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     mine = rows.withColumn("_row", F.monotonically_increasing_id())
     heads = mine.select("_row", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(longest))), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("alias"))
-    hit = heads.join(keys, "alias").groupBy("_row").agg(F.max_by("law_key", F.char_length("alias")).alias("law_key"))
+    hit = heads.join(small(keys), "alias").groupBy("_row").agg(F.max_by("law_key", F.char_length("alias")).alias("law_key"))
     return mine.join(hit, "_row", "left").drop("_row")
 
 
@@ -179,9 +195,14 @@ def subject_from_keywords(scores: DataFrame, topics: DataFrame, ids: list[str])
     return v.filter("score >= 32 and score * 2 >= runner_up * 3").select(*ids, F.col("winner").alias("subject"))
 
 
-def innermost_heading(path: Column, names: DataFrame) -> Column:
-    """The subject of the innermost heading that names one; names: heading, subject_key (a small dimension, as a literal map)."""
-    pairs = names.limit(1000).collect()
+def innermost_heading(path: Column, names: DataFrame, most: int = 5000) -> Column:
+    """The subject of the innermost heading that names one; names: heading, subject_key (a dimension, as a literal map).
+
+    More names than `most` are refused, never cut.
+    """
+    pairs = names.limit(most + 1).collect()
+    if len(pairs) > most:
+        raise ValueError(f"more than {most} names of subjects")
     known = F.create_map(*[F.lit(x) for r in pairs for x in (r.heading, r.subject_key)])
     found = F.filter(F.transform(F.reverse(path), lambda h: F.try_element_at(known, heading_key(h))), lambda s: s.isNotNull())
     return F.get(found, F.lit(0))
