@@ -8,8 +8,9 @@ L2 (elastic-net) terms on a bounded sample: `sample` rows at most in expectation
 chosen by hash; a fifth of it is kept from the fit and sets the temperature by which logits are divided.
 
 Defined results: `und` and score 0 for null text, text without a letter, or when there is nothing to learn from;
-a language that is rarer than the first `max_languages` is not learned; equal scores go to the first language in code
-point order; an empty table gives an empty table; other columns are not read.
+every language is learned, and a table with more than `max_languages` is refused (ValueError) rather than read in part;
+equal scores go to the first language in code point order; an empty table gives an empty table; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ BITS = 16
 SIZE = 1 << BITS
 PARTS = 64
 SAMPLE = 8000
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 1000
 RUN_CHARS = 1 << 20
 _letters: list[np.ndarray] = []
 
@@ -186,7 +187,9 @@ def _fit(languages: list[str], idf, epochs: int, alpha: float, beta: float, l1:
 def train(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.0001) -> dict:
     """Fit on (id, text, lang), all of which may be learned from: idf from every row, weights from the sample."""
     rows = rows.filter(F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
+    if len(counts) > max_languages:
+        raise ValueError(f"more than {max_languages} languages: none is left out, so raise max_languages, for which a worker needs 1 MB each")
     languages = sorted(x.lang for x in counts)
     if not languages:
         return {"languages": []}
@@ -194,7 +197,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUA
     share = F.broadcast(rows.sparkSession.createDataFrame([(x.lang, min(1 << 20, each * (1 << 20) // x["count"] + 1)) for x in counts], "lang string, below long"))
     idf = rows.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))
     chosen = rows.withColumn("key", F.xxhash64("id")).join(share, "lang").filter(F.pmod(F.shiftright("key", 20), F.lit(1 << 20)) < F.col("below"))
-    fit = chosen.select("key", "lang", "text").coalesce(1).mapInArrow(_fit(languages, idf, epochs, alpha, beta, l1, l2), "weights binary, bias binary, temperature double").collect()[0]
+    fit = chosen.select("key", "lang", "text").repartition(1).mapInArrow(_fit(languages, idf, epochs, alpha, beta, l1, l2), "weights binary, bias binary, temperature double").collect()[0]
     return {"languages": languages, "idf": idf.value, "weights": np.frombuffer(fit.weights, np.float32).reshape(SIZE, -1), "bias": np.frombuffer(fit.bias, np.float64), "temperature": fit.temperature}
 
 
