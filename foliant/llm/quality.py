@@ -106,7 +106,7 @@ def _fit(epochs: int, alpha: float, l1: float, l2: float):
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = 4, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.02) -> tuple[bytes, float]:
     """Fit on (key, text, label); at most max_labelled rows are expected, all go to one task. Weights as float32, and the bias."""
     assert max_labelled <= 100_000, "the fit is made in one task"
-    found = labelled.coalesce(1).mapInArrow(_fit(epochs, alpha, l1, l2), "weights binary, bias double").collect()
+    found = labelled.repartition(1).mapInArrow(_fit(epochs, alpha, l1, l2), "weights binary, bias double").collect()
     return (bytes(found[0].weights), found[0].bias) if found else (np.zeros(1 << BITS, np.float32).tobytes(), 0.0)
 
 
