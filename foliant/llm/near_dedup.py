@@ -15,9 +15,12 @@
              its buckets; links are checked on the full sets and grouped. Most groups are whole after that.
 6. crossings What is left are pairs in one bucket whose groups differ. Buckets are cut into blocks of classes; each pair of
              blocks that can hold such a pair is compared at once, by the bounds and by 256-byte sketches of the signatures,
-             which drop pairs whose estimate is below 0.75 by more than 0.135 (5 standard deviations: 3e-7); a pair is
-             looked at in its first bucket only, the first band whose whole keys are equal. First the best partner of each class is checked, groups are joined, and then every pair
-             that is still across groups: no link is lost to a cap.
+             which drop pairs whose estimate is below 0.75 by more than 0.135 (5 standard deviations: 3e-7). First the best
+             partner of each class is checked and groups are joined. Then classes that still have a partner across groups
+             are marked, their full sets are brought to their blocks, and every pair that is still across groups is
+             checked there; a pair is looked at in its first bucket only, the first band whose whole keys are equal. A
+             link joins its two groups at once, within the task, so links written are fewer than classes: pairs are never
+             rows, and none is lost to a cap.
 7. groups    Union-find in each task over its links, then large-star and small-star steps between tasks until nothing
              changes. Links and groups stay in tables.
 
@@ -39,16 +42,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import LOWER, WORDS, grams, mix, runs, strings, token_hashes, tokens
-from foliant.llm.runtime import Cut, columns_for, cut, join_per_key
+from foliant.llm.runtime import Cut, columns_for, cut, join_per_key, released, small_batches
 
 WIDTH = 5
 SLOTS, BANDS, ROWS = 256, 32, 4
 PERCENT = 75
 #: Five standard deviations (0.027 at most) of an estimate over 256 slots.
 MARGIN = 0.135
-BLOCK = 2000
+#: Classes of a block, and shingles of all its classes together.
+BLOCK, BLOCK_ITEMS = 2000, 1_000_000
 #: Shingles that one task counts.
-PART_ITEMS = 2_000_000
+PART_ITEMS = 1_000_000
 RUN_BYTES = 1 << 20
 
 
@@ -136,41 +140,61 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(cid), pa.array([s.tobytes() for s in sets], pa.binary())], ["cls", "cid", "items"])
 
 
-_ITEM = np.dtype([("cid", "<i8"), ("item", "<u4")])
+_ITEM = np.dtype([("cid", "<i8"), ("item", "<u4"), ("seen", "u1")])
 
 
 def _dealt(parts: int):
-    """Shingles of classes by part, packed: 12 bytes each."""
+    """Shingles of classes by part, packed: 13 bytes each.
+
+    A shingle that several classes of a batch have is counted for them here (part -1: cid and count) and goes on once, as
+    seen: however many classes have it, no part gets more of it than there are batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             items = [np.frombuffer(x, np.uint64) for x in batch.column("items").to_pylist()]
-            flat = np.empty(sum(map(len, items)), _ITEM)
+            if not items:
+                continue
+            flat = np.zeros(sum(map(len, items)), _ITEM)
             flat["cid"] = np.repeat(batch.column("cid").to_numpy(), [len(x) for x in items])
-            h = np.concatenate(items) if items else np.zeros(0, np.uint64)
-            flat["item"] = (h >> np.uint64(32)).astype(np.uint32)
+            flat["item"] = (np.concatenate(items) >> np.uint64(32)).astype(np.uint32)
+            flat = flat[np.argsort(flat["item"], kind="stable")]
+            fresh = np.ones(len(flat), bool)
+            fresh[1:] = flat["item"][1:] != flat["item"][:-1]
+            often = ~fresh
+            often[:-1] |= ~fresh[1:]
+            counted = np.unique(flat["cid"][often], return_counts=True)
+            flat["seen"] = often
+            flat = flat[fresh]
             part = flat["item"] % np.uint32(parts)
             order = np.argsort(part, kind="stable")
             found, at = np.unique(part[order], return_index=True)
             packed = [x.tobytes() for x in np.split(flat[order], at[1:])] if len(found) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(packed, pa.binary())], ["part", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(found.astype(np.int32), np.int32(-1))), pa.array([*packed, np.stack(counted).astype(np.int64).tobytes()], pa.binary())], ["part", "packed"])
 
     return run
 
 
 def _shared_items(table: pa.Table) -> pa.Table:
-    """How many of its shingles in this part each class shares with another."""
+    """How many of its shingles in this part each class shares with another, but for those that were counted before."""
     flat = np.frombuffer(b"".join(table["packed"].to_pylist()), _ITEM)
-    order = np.argsort(flat["item"], kind="stable")
-    item, cid = flat["item"][order], flat["cid"][order]
-    same = item[1:] == item[:-1]
-    both = np.zeros(len(item), bool)
+    flat = flat[np.argsort(flat["item"], kind="stable")]
+    same = flat["item"][1:] == flat["item"][:-1]
+    both = np.zeros(len(flat), bool)
     both[1:] |= same
     both[:-1] |= same
-    found, counts = np.unique(cid[both], return_counts=True)
+    found, counts = np.unique(flat["cid"][both & (flat["seen"] == 0)], return_counts=True)
     return pa.table({"cid": found, "s": counts.astype(np.int64)})
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        both = [np.frombuffer(x, np.int64).reshape(2, -1) for x in batch.column("packed").to_pylist()]
+        if both:
+            found, counts = np.concatenate(both, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["cid", "s"])
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by key and class, those whose key has another class; repeated rows once."""
     last: tuple | None = None  # key, class, band, and whether it has gone out
@@ -212,9 +236,7 @@ def _verify(percent: int):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("items_a"), batch.column("items_b"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
     return run
@@ -299,70 +321,135 @@ def stars(links: DataFrame, per_task: int = 200_000) -> DataFrame:
     return before.frame.select(F.col("a").alias("cls"), F.col("b").alias("root")).distinct()
 
 
-def _across(cls: list, root: np.ndarray, n: np.ndarray, s: np.ndarray, side: np.ndarray, tags: np.ndarray, bands: np.ndarray | None, band: int, threshold: float, percent: int) -> Iterator[tuple]:
-    """Pairs of one pair of blocks (side 1 and 2; 0: one block with itself) that may be alike and whose groups differ.
-
-    bands: the keys of all bands of each class; without them, only the best partner of each class.
-    """
-    right = np.flatnonzero(side != 1)
-    for i in np.flatnonzero(side != 2):
-        bound = (100 + percent) * np.minimum(s[right], s[i]) >= percent * (n[right] + n[i])
-        at = right[(root[right] != root[i]) & bound & (100 * np.minimum(n[right], n[i]) >= percent * np.maximum(n[right], n[i]))]
-        if len(at):
-            alike = (tags[at] == tags[i]).mean(axis=1)
-            if bands is None:
-                at = at[alike == max(alike.max(), threshold)][:1]
-            else:
-                at = at[alike >= threshold]
-                at = at[(bands[at] == bands[i]).argmax(axis=1) == band]  # the first bucket that both are in
-            for j in at:
-                yield min(cls[i], cls[j]), max(cls[i], cls[j])
+class _Block:
+    """One pair of blocks of a bucket (side 1 and 2; 0: one block with itself)."""
+
+    def __init__(self, table: pa.Table, threshold: float, percent: int):
+        self.threshold, self.percent = threshold, percent
+        self.cls, self.roots = table["cls"].to_pylist(), table["root"].to_pylist()
+        known: dict = {}
+        self.root = np.array([known.setdefault(r, len(known)) for r in self.roots])
+        self.n, self.s, self.side, self.band = (table[c].to_numpy() for c in ("n", "s", "side", "band"))
+        self.tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(len(self.cls), SLOTS)
+        self.bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(self.cls), BANDS) if "bands" in table.schema.names else None
+        self.items = table["items"].to_pylist() if "items" in table.schema.names else None
+
+    def partners(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each row with the rows on the other side that may be alike and whose groups differ, and their estimates."""
+        right = np.flatnonzero(self.side != 1)
+        n, s, p = self.n, self.s, self.percent
+        for i in np.flatnonzero(self.side != 2):
+            bound = ((100 + p) * np.minimum(s[right], s[i]) >= p * (n[right] + n[i])) & (100 * np.minimum(n[right], n[i]) >= p * np.maximum(n[right], n[i]))
+            at = right[(self.root[right] != self.root[i]) & bound]
+            if self.bands is not None and len(at):
+                at = at[(self.bands[at] == self.bands[i]).argmax(axis=1) == self.band[i]]  # the first bucket that both are in
+            if len(at):
+                alike = (self.tags[at] == self.tags[i]).mean(axis=1)
+                keep = alike >= self.threshold
+                if keep.any():
+                    yield int(i), at[keep], alike[keep]
+
+    def best(self) -> Iterator[tuple[bytes, bytes]]:
+        """The most similar partner of each row."""
+        for i, at, alike in self.partners():
+            j = at[alike.argmax()]
+            yield min(self.cls[i], self.cls[j]), max(self.cls[i], self.cls[j])
+
+    def marked(self) -> set[int]:
+        """Rows that have a partner."""
+        out = set()
+        for i, at, _ in self.partners():
+            out.add(i)
+            out.update(at.tolist())
+        return out
+
+    def links(self) -> Iterator[tuple[bytes, bytes]]:
+        """Links on the full sets that join two groups, most similar first; groups joined here are one from then on."""
+        parent = list(range(len(self.root)))
+
+        def find(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+        for i, at, alike in self.partners():
+            for j in at[np.argsort(-alike, kind="stable")].tolist():
+                a, b = find(self.root[i]), find(self.root[j])
+                if a != b:
+                    x, y = (sets.setdefault(k, np.frombuffer(self.items[k], np.uint64)) for k in (i, j))
+                    if similar(x, y, self.percent):
+                        parent[max(a, b)] = min(a, b)
+                        yield min(self.cls[i], self.cls[j]), max(self.cls[i], self.cls[j])
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Of two sorted sets: 100 * intersection >= percent * union."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows come sorted by pair of blocks (key, p, q); one pair is in memory at a time."""
+    rest: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        at = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")])
+        if not at.shape[1]:
+            continue
+        cuts = [0, *(np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist(), at.shape[1]]
+        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(at[:, x].tolist())
+            if key != now and rest:
+                yield pa.Table.from_batches(rest)
+                rest = []
+            now = key
+            rest.append(batch.slice(x, y - x))
+    if rest:
+        yield pa.Table.from_batches(rest)
 
 
-def _crossing(best_only: bool, threshold: float, percent: int):
-    """Rows come sorted by pair of blocks (key, p, q); one pair is in memory at a time."""
+def _pairs(method: str, threshold: float, percent: int):
+    """Pairs (a, b) that a method of the pairs of blocks gives."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in _ended(batches):
-            table = pa.Table.from_batches(([rest] if rest is not None else []) + ([batch] if batch is not None else [])) if rest is not None or batch is not None else None
-            if table is None or not table.num_rows:
-                continue
-            table = table.combine_chunks()
-            at = np.stack([table[c].to_numpy() for c in ("key", "p", "q")])
-            cuts = np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1
-            cuts = np.concatenate([[0], cuts, [] if batch is not None else [table.num_rows]]).astype(int)
-            done = cuts[-1]
-            rest = table.slice(done).to_batches()[0] if done < table.num_rows else None
-            known: dict = {}
-            cls, n, s, side, band = table["cls"].to_pylist(), *(table[c].to_numpy() for c in ("n", "s", "side", "band"))
-            root = np.array([known.setdefault(r, len(known)) for r in table["root"].to_pylist()])
-            tags = np.frombuffer(b"".join(table["tags"].to_pylist()), np.uint8).reshape(len(cls), SLOTS)
-            bands = None if best_only else table["bands"].combine_chunks().flatten().to_numpy().reshape(len(cls), BANDS)
-            out = set()
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if y - x > 1:
-                    out.update(_across(cls[x:y], root[x:y], n[x:y], s[x:y], side[x:y], tags[x:y], None if best_only else bands[x:y], int(band[x]), threshold, percent))
-            if out:
+        out: set = set()
+        for table in _blocks(batches):
+            if table.num_rows > 1:
+                out.update(getattr(_Block(table, threshold, percent), method)())
+            if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+                out = set()
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
+MEETING = ["key", "band", "p", "q", "side", "cls"]
+
+
+def _marks(threshold: float, percent: int):
+    """Those rows that have a partner in their pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _blocks(batches):
+            if table.num_rows > 1 and (rows := sorted(_Block(table, threshold, percent).marked())):
+                yield from table.select(MEETING).take(rows).combine_chunks().to_batches()
+
+    return run
 
 
-def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only: bool, threshold: float, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different groups whose sketches are alike; members: key, band, cls."""
-    m = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    per_root = m.groupBy("key", "root").count()
+def _meetings(members: DataFrame, groups: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(MEETING, root): members (key, band, cls) dealt to the pairs of blocks in which classes of different groups meet."""
+    m = members.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(nodes.select("cls", "n"), "cls")
+    per_root = m.groupBy("key", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("items"))
     # the largest group of a bucket needs no comparison with itself
-    per_key = per_root.groupBy("key").agg(F.max(F.struct("count", "root")).alias("most"), F.sum("count").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-    per_key = per_key.select("key", F.col("most.root").alias("main"), F.ceil(F.col("most.count") / BLOCK).cast("int").alias("mains"), F.ceil((F.col("size") - F.col("most.count")) / BLOCK).cast("int").alias("others"))
-    sketch = ["n", "s", "tags"] if best_only else ["n", "s", "tags", "bands"]
-    m = m.join(per_key, "key").join(nodes.select("cls", *sketch), "cls")
+    most = F.max(F.struct("count", "root", "items"))
+    per_key = per_root.groupBy("key").agg(most.alias("most"), F.sum("count").alias("count"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    blocks = lambda count, items: F.ceil(F.greatest(count / BLOCK, items / BLOCK_ITEMS)).cast("int")
+    per_key = per_key.select("key", F.col("most.root").alias("main"), blocks(F.col("most.count"), F.col("most.items")).alias("mains"), blocks(F.col("count") - F.col("most.count"), F.col("items") - F.col("most.items")).alias("others"))
+    m = m.join(per_key, "key")
     is_main = F.col("root") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(F.hash("cls"), F.col("mains"))).otherwise(F.pmod(F.hash("cls"), F.col("others")))
     m = m.withColumn("block", block)
@@ -370,19 +457,37 @@ def crossings(members: DataFrame, groups: DataFrame, nodes: DataFrame, best_only
     last = F.col("others") + F.col("mains") - 1
     up = F.transform(F.sequence(F.col("block"), last), lambda x: F.struct(F.col("block").alias("p"), x.alias("q"), F.when(x == F.col("block"), 0).otherwise(1).alias("side")))
     down = F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda x: x < F.col("block")), lambda x: F.struct(x.alias("p"), F.col("block").alias("q"), F.lit(2).alias("side")))
-    m = m.withColumn("at", F.explode(F.when(is_main, down).otherwise(F.concat(up, down))))
-    m = m.select("key", "band", "at.p", "at.q", "at.side", "cls", "root", *sketch)
-    m = m.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return m.mapInArrow(_crossing(best_only, threshold, percent), "a binary, b binary").distinct()
+    return m.withColumn("at", F.explode(F.when(is_main, down).otherwise(F.concat(up, down)))).select("key", "band", "at.p", "at.q", "at.side", "cls", "root")
+
+
+def _together(meetings: DataFrame) -> DataFrame:
+    return meetings.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+
+def proposals(members: DataFrame, groups: DataFrame, nodes: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Pairs (a, b): for each class of a pair of blocks the partner of another group whose sketch is most alike."""
+    m = _meetings(members, groups, nodes).join(nodes.select("cls", "n", "s", "tags"), "cls")
+    return _together(m).mapInArrow(released(_pairs("best", threshold, percent)), "a binary, b binary").distinct()
+
+
+def remaining(members: DataFrame, groups: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b), checked on the full sets, after which no two classes that are alike are in different groups."""
+    m = _meetings(members, groups, nodes).join(nodes.select("cls", "n", "s", "tags", "bands"), "cls")
+    marked = cut(_together(m).mapInArrow(released(_marks(threshold, percent)), "key long, band int, p int, q int, side int, cls binary"), "marked")
+    whole = marked.join(groups, "cls", "left").withColumn("root", F.coalesce("root", "cls")).join(nodes.select("cls", "n", "s", "tags", "bands"), "cls")
+    # what is marked grows with the input, so it is never broadcast
+    whole = whole.hint("merge").join(sets.select("cls", "items"), "cls")
+    return _together(whole).mapInArrow(released(_pairs("links", threshold, percent)), "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     id_type = docs.schema[id_col].dataType
     texts = docs.select(*columns_for(docs, id=id_col, text=text_col), F.monotonically_increasing_id().alias("token"))
     kind = id_type.simpleString()
-    rows = cut(texts.mapInArrow(_sketches, f"id {kind}, token long, n long, cls binary, bands array<long>, tags binary"), "sketches")
+    rows = cut(texts.mapInArrow(released(_sketches), f"id {kind}, token long, n long, cls binary, bands array<long>, tags binary"), "sketches")
     least = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("token").alias("token"))
     total = rows.count()
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min(least).alias("least"), F.count(F.lit(1)).alias("size"))
@@ -390,18 +495,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets that more than one class shares
     at = rows.filter("n > 0").select("cls", F.posexplode("bands").alias("band", "key"))
-    members = cut(at.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_buckets, "cls binary, key long, band int"), "members")
+    members = cut(at.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(released(_buckets), "cls binary, key long, band int"), "members")
     wanted = members.select("cls").distinct()
     nodes = cut(rows.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]).select("cls", "n", "tags", "bands", "id"), "nodes")
     # what has a partner grows with the input, so it is never broadcast
     mine = texts.select("id", "text").join(nodes.select(F.col("id").alias("_id")).hint("merge"), F.col("id").eqNullSafe(F.col("_id")), "left_semi")
-    sets = mine.mapInArrow(_sets, "cls binary, cid long, items binary")
+    sets = mine.mapInArrow(released(_sets), "cls binary, cid long, items binary")
     sets = cut(sets.join(nodes.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
 
     # bounds: shingles that another class of any bucket has
     items = nodes.agg(F.sum("n").alias("n")).first().n or 0
-    dealt = sets.select("cid", "items").mapInArrow(_dealt(max(1, math.ceil(items / PART_ITEMS))), "part int, packed binary")
-    counts = dealt.groupBy("part").applyInArrow(_shared_items, "cid long, s long").groupBy("cid").agg(F.sum("s").alias("s"))
+    dealt = cut(sets.select("cid", "items").mapInArrow(released(_dealt(max(1, math.ceil(items / PART_ITEMS)))), "part int, packed binary"), "dealt")
+    counts = dealt.filter("part >= 0").groupBy("part").applyInArrow(_shared_items, "cid long, s long")
+    counts = counts.unionByName(dealt.filter("part < 0").mapInArrow(released(_counted), "cid long, s long")).groupBy("cid").agg(F.sum("s").alias("s"))
     counts = sets.select("cls", "cid").join(counts, "cid").select("cls", "s")
     nodes = nodes.join(counts, "cls").filter((100 + percent) * F.col("s") * 100 >= F.lit(percent * (100 + percent)) * F.col("n"))
     nodes = cut(nodes, "bounded")
@@ -412,16 +518,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def check(links: DataFrame) -> None:
         sized = _attach(_attach(links, nodes, "a", "n", "tags"), nodes, "b", "n", "tags")
         sized = sized.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-        near = sized.select("a", "b", "tags_a", "tags_b").mapInArrow(_alike(threshold), "a binary, b binary")
+        near = sized.select("a", "b", "tags_a", "tags_b").mapInArrow(released(_alike(threshold)), "a binary, b binary")
         whole = _attach(_attach(near, sets, "a", "items"), sets, "b", "items")
-        groups.add(whole.select("a", "b", "items_a", "items_b").mapInArrow(_verify(percent), "a binary, b binary"))
+        groups.add(whole.select("a", "b", "items_a", "items_b").mapInArrow(released(_verify(percent)), "a binary, b binary"))
 
     rank = F.struct(F.xxhash64("cls").alias("rank"), F.col("cls"))
     best = members.groupBy("key").agg(F.min(rank).alias("best"))
     proposed = members.join(best, "key").filter("cls <> best.cls").groupBy("cls").agg(F.min("best").alias("best"))
     check(proposed.select(F.col("cls").alias("a"), F.col("best.cls").alias("b")))
-    for best_only in (True, False):
-        check(crossings(members, groups.frame(), nodes, best_only, threshold, percent))
+    check(proposals(members, groups.frame(), nodes, threshold, percent))
+    groups.add(remaining(members, groups.frame(), nodes, sets, threshold, percent))
 
     grouped = classes.join(groups.frame(), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     roots = grouped.groupBy("root").agg(F.min("least").alias("keep"), F.sum("size").alias("all")).filter("all > 1")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,27 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total
 def columns_for(docs: DataFrame, **wanted: str) -> list[Column]:
     """Only the columns that are needed, under our own names, so that extra columns can't clash."""
     return [docs[f"`{column}`"].alias(name) for name, column in wanted.items()]
+
+
+#: Bytes of texts that a Python worker gets at once; the JVM holds as much outside its heap for each task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES if they may be larger, so that workers are small at every size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
+def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """work, after which a worker gives free memory back to the system instead of keeping it for its next task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run

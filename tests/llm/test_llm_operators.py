@@ -104,9 +104,49 @@ def test_near_dedup_takes_buckets_by_whole_keys(spark):
     nodes = spark.createDataFrame(nodes, "cls binary, n long, s long, tags binary, bands array<long>")
     members = spark.createDataFrame([(7, 3, bytes([k])) for k in (0, 1)], "key long, band int, cls binary")
     none = spark.createDataFrame([], "cls binary, root binary")
-    for best_only in (True, False):
-        found = near_dedup.crossings(members, none, nodes, best_only, 0.6, 75).collect()
-        assert [(bytes(r.a), bytes(r.b)) for r in found] == [(b"\0", b"\1")]
+    sets = spark.createDataFrame([(bytes([k]), np.arange(100, dtype=np.uint64).tobytes()) for k in (0, 1)], "cls binary, items binary")
+    for found in (near_dedup.proposals(members, none, nodes, 0.6, 75), near_dedup.remaining(members, none, nodes, sets, 0.6, 75)):
+        assert [(bytes(r.a), bytes(r.b)) for r in found.collect()] == [(b"\0", b"\1")]
+
+
+def test_near_dedup_writes_no_pairs(spark):
+    """Many texts that all resemble each other below the threshold, and copies of some: links are fewer than classes."""
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for k in rng.choice(120, 5, replace=False):
+            words[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, t + " tail") for i, t in rows[:20]]
+    sets = {i: shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in sets:
+            if j < i and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in out} == root
+
+
+def test_shared_items_are_counted_over_batches():
+    """Shingles shared within a batch and between batches count once for each class."""
+    import pyarrow as pa
+
+    sets = {1: [10, 11, 12], 2: [10, 13], 3: [10, 11], 4: [14, 12], 5: [15]}
+    batch = lambda ids: pa.RecordBatch.from_arrays([pa.array(ids), pa.array([(np.array(sets[i], np.uint64) << np.uint64(32)).tobytes() for i in ids], pa.binary())], ["cid", "items"])
+    out = list(near_dedup._dealt(3)(iter([batch([1, 2]), batch([3, 4]), batch([5])])))
+    got = Counter()
+    rows = [(p, x) for b in out for p, x in zip(b.column("part").to_pylist(), b.column("packed").to_pylist())]
+    for part in range(3):
+        mine = pa.table({"packed": pa.array([x for p, x in rows if p == part], pa.binary())})
+        got.update({r["cid"]: r["s"] for r in near_dedup._shared_items(mine).to_pylist()})
+    for b in near_dedup._counted(iter([pa.RecordBatch.from_arrays([pa.array([x for p, x in rows if p < 0], pa.binary())], ["packed"])])):
+        got.update({r["cid"]: r["s"] for r in b.to_pylist()})
+    want = {i: sum(any(x in sets[j] for j in sets if j != i) for x in s) for i, s in sets.items()}
+    assert {i: got[i] for i in sets} == want
 
 
 def test_superminhash_estimates():
