@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.runtime import columns_for, cut, join_per_key
+from foliant.llm.runtime import columns_for, cut, join_per_key, released, small_batches
 
 PLACES = 1 << 16
 FILTER_BYTES = 32 << 20
@@ -88,19 +88,20 @@ def _lookup(bits: int, blocks):
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, and possible (looked up as maybe repeated)."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(*columns_for(docs, id=id_col, text=text_col), F.monotonically_increasing_id().alias("token"))
-    rows = cut(rows.mapInArrow(_digest, f"id {kind}, token long, sha binary"), "digests")
+    rows = cut(rows.mapInArrow(released(_digest), f"id {kind}, token long, sha binary"), "digests")
     total = rows.count()
 
     bits, most = 0, max(0, min(24, (filter_bytes * 8 // PLACES).bit_length() - 1))
     while bits < most and total * 8 > PLACES << bits:
         bits += 1
-    inserts = rows.select("sha").mapInArrow(_inserts(bits), "block int, inserts binary")
+    inserts = rows.select("sha").mapInArrow(released(_inserts(bits)), "block int, inserts binary")
     blocks = bytearray(PLACES // 8 << bits)
     for x in inserts.groupBy("block").applyInPandas(_block, "block int, places binary").collect():  # filter_bytes at most
         blocks[x.block * PLACES // 8 : (x.block + 1) * PLACES // 8] = x.places
-    looked = rows.mapInArrow(_lookup(bits, spark.sparkContext.broadcast(bytes(blocks))), f"id {kind}, token long, sha binary, maybe boolean")
+    looked = rows.mapInArrow(released(_lookup(bits, spark.sparkContext.broadcast(bytes(blocks)))), f"id {kind}, token long, sha binary, maybe boolean")
 
     alone = looked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "maybe")
     maybe = looked.filter("maybe")

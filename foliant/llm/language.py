@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.runtime import columns_for
+from foliant.llm.runtime import columns_for, released, small_batches
 
 BITS = 16
 SIZE = 1 << BITS
@@ -108,7 +108,7 @@ def _added(frame: pd.DataFrame) -> pd.DataFrame:
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """log((n + 1) / (df + 1)) + 1 by place, over every row of docs (text)."""
-    sums = docs.select("text").mapInArrow(_frequencies, "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary").collect()
+    sums = docs.select("text").mapInArrow(released(_frequencies), "part int, counts binary").groupBy("part").applyInPandas(_added, "part int, counts binary").collect()
     by = {x.part: np.frombuffer(x.counts, np.int64) for x in sums}  # PARTS + 1 rows
     if not by:
         return np.ones(SIZE, np.float32)
@@ -186,6 +186,7 @@ def _fit(languages: list[str], idf, epochs: int, alpha: float, beta: float, l1:
 
 def train(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES, epochs: int = 3, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.0001) -> dict:
     """Fit on (id, text, lang), all of which may be learned from: idf from every row, weights from the sample."""
+    small_batches(rows.sparkSession)
     rows = rows.filter(F.col("lang").isNotNull())
     counts = rows.groupBy("lang").count().limit(max_languages + 1).collect()
     if len(counts) > max_languages:
@@ -197,7 +198,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, max_languages: int = MAX_LANGUA
     share = F.broadcast(rows.sparkSession.createDataFrame([(x.lang, min(1 << 20, each * (1 << 20) // x["count"] + 1)) for x in counts], "lang string, below long"))
     idf = rows.sparkSession.sparkContext.broadcast(inverse_frequencies(rows))
     chosen = rows.withColumn("key", F.xxhash64("id")).join(share, "lang").filter(F.pmod(F.shiftright("key", 20), F.lit(1 << 20)) < F.col("below"))
-    fit = chosen.select("key", "lang", "text").repartition(1).mapInArrow(_fit(languages, idf, epochs, alpha, beta, l1, l2), "weights binary, bias binary, temperature double").collect()[0]
+    fit = chosen.select("key", "lang", "text").repartition(1).mapInArrow(released(_fit(languages, idf, epochs, alpha, beta, l1, l2)), "weights binary, bias binary, temperature double").collect()[0]
     return {"languages": languages, "idf": idf.value, "weights": np.frombuffer(fit.weights, np.float32).reshape(SIZE, -1), "bias": np.frombuffer(fit.bias, np.float64), "temperature": fit.temperature}
 
 
@@ -226,7 +227,7 @@ def predict(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 2**16 floats for each of max_languages at most
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(*columns_for(docs, id=id_col, text=text_col))
-    return rows.mapInArrow(_predict(sent), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_predict(sent)), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def fold(column: str) -> Column:

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import mix, token_hashes
+from foliant.llm.runtime import released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, VARIANTS, SEED = 0.1, 4, 1
@@ -319,6 +320,7 @@ def _decoded(model):
 
 
 def _sent(spark: SparkSession, model: str):
+    small_batches(spark)
     return spark.sparkContext.broadcast(Path(model).read_bytes())  # half a MB, read where the driver is
 
 
@@ -335,14 +337,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "n_pieces", *more)]
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], F.pmod(F.xxhash64(F.lit(options.get("seed", SEED)), docs[f"`{id_col}`"]), F.lit(1 << 30)).alias("_key"), docs[f"`{text_col}`"].alias("_text"))
     checked = ", decoded_sha256 string, lossless boolean" if check else ""
-    return rows.mapInArrow(_encoded(check, _sent(docs.sparkSession, model), options), f"{_kinds(docs, keep)}pieces binary, n_pieces long{checked}")
+    return rows.mapInArrow(released(_encoded(check, _sent(docs.sparkSession, model), options)), f"{_kinds(docs, keep)}pieces binary, n_pieces long{checked}")
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces_col: str = "pieces") -> DataFrame:
     """encoded with the column decoded."""
     keep = [c for c in encoded.columns if c != "decoded"]
     rows = encoded.select(*[encoded[f"`{c}`"] for c in keep], encoded[f"`{pieces_col}`"].alias("_pieces"))
-    return rows.mapInArrow(_decoded(_sent(encoded.sparkSession, model)), f"{_kinds(encoded, keep)}decoded string")
+    return rows.mapInArrow(released(_decoded(_sent(encoded.sparkSession, model))), f"{_kinds(encoded, keep)}decoded string")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

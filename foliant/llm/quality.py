@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import BASE, CLASSES, mix, runs, strings, token_hashes, tokens
-from foliant.llm.runtime import columns_for
+from foliant.llm.runtime import columns_for, released, small_batches
 
 BITS = 18
 MAX_LABELLED = 6000
@@ -106,7 +106,8 @@ def _fit(epochs: int, alpha: float, l1: float, l2: float):
 def train(labelled: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = 4, alpha: float = 0.5, l1: float = 0.05, l2: float = 0.02) -> tuple[bytes, float]:
     """Fit on (key, text, label); at most max_labelled rows are expected, all go to one task. Weights as float32, and the bias."""
     assert max_labelled <= 100_000, "the fit is made in one task"
-    found = labelled.repartition(1).mapInArrow(_fit(epochs, alpha, l1, l2), "weights binary, bias double").collect()
+    small_batches(labelled.sparkSession)
+    found = labelled.repartition(1).mapInArrow(released(_fit(epochs, alpha, l1, l2)), "weights binary, bias double").collect()
     return (bytes(found[0].weights), found[0].bias) if found else (np.zeros(1 << BITS, np.float32).tobytes(), 0.0)
 
 
@@ -146,7 +147,7 @@ def score(docs: DataFrame, model: tuple[bytes, float], id_col: str = "doc_id", t
     sent = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB
     rows = docs.select(*columns_for(docs, id=id_col, text=text_col))
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(_scores(sent), f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(released(_scores(sent)), f"id {kind}, score double").withColumnRenamed("id", id_col)
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -172,7 +173,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
                 keep = next(scored(iter([pair]))).column("score").to_numpy() >= threshold
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema).select(*names)
+    return docs.mapInArrow(released(run), docs.schema).select(*names)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
