@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from foliant.llm import chat, exact_dedup, fingerprints, language, licences, line_dedup, mixing, near_dedup, pieces, quality
@@ -336,36 +337,58 @@ def test_pieces(spark, docs, none):
 
 
 
-def test_fingerprints(spark, docs, none):
+def brute_winnow(text):
+    """(place, hash) of every choice, window by window."""
+    text = (text or "").replace("İ", "i").replace("Σ", "σ").lower()
+    k, w = fingerprints.GRAM, fingerprints.WINDOW
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) >> 33 for g in ([text[i : i + k] for i in range(len(text) - k + 1)] or [text][: len(text)])]
+    chosen = []
+    for s in range(max(1, len(h) - w + 1) if h else 0):
+        window = h[s : s + w]
+        at = s + max(i for i, x in enumerate(window) if x == min(window))
+        if not chosen or chosen[-1][0] != at:
+            chosen.append((at, h[at]))
+    return chosen
+
+
+def test_fingerprints(spark, docs, none, tmp_path):
+    """op10 against winnowing window by window, of each text and of the edited text itself."""
     rng = np.random.default_rng(2)
     pool = [f"w{i}" for i in range(500)]
-    shared = " ".join(rng.choice(pool, 11))
-    rows = [(i, " ".join(rng.choice(pool, int(rng.integers(0, 60)))) + " " + (shared if i % 2 else "")) for i in range(80)] + [(90, None), (91, ""), (92, " \n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r for r in fingerprints.fingerprint(df).collect()}
-    odd = [set(found[i].hashes) for i in range(1, 80, 2)]
-    assert all(odd[0] & o for o in odd)  # a run of 11 words in common is found
-    assert found[90].hashes == found[91].hashes == found[92].hashes == []
-    for i, t in rows[:80]:
-        n = max(0, len(t.split()))
-        places = found[i].places
-        if n >= 4:  # no window of 8 grams is without a choice, and places rise
-            assert places == sorted(set(places)) and all(b - a <= 8 for a, b in zip([-1, *places], [*places, n - 3]))
-    out = {r.doc_id: r for r in fingerprints.edited_likeness(df).collect()}
-    texts = [(i, t or "") for i, t in rows]
-    for k, (i, t) in enumerate(texts):
-        follower = texts[(k + 1) % len(texts)][1]
+    words = lambda n: " ".join(rng.choice(pool, n))
+    texts = [words(int(rng.integers(0, 60))) for _ in range(50)] + ["".join(rng.choice(list("日本語文字列一二三"), n)) for n in (5, 11, 12, 19, 20, 500, 2000)]
+    texts += ["same " * 100, "a" * 700, None, "", " \n", "😀É" * 300, "İΣ Σ" * 120, words(900), "tiny", words(400), *[words(int(n)) for n in rng.integers(1, 400, 40)]]
+    order = rng.permutation(len(texts))
+    rows = [(int(k) * 3, texts[i]) for k, i in enumerate(order)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in fingerprints.op10_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(out) == len(rows)
+    shown = lambda c: " ".join(f"{p}:{h:x}" for p, h in c)
+    for k, (i, t) in enumerate(rows):
+        t, follower = t or "", rows[(k + 1) % len(rows)][1] or ""
         edited = t[: len(t) - len(t) // 4] + follower[: len(t) // 4]
+        own, other, after = (brute_winnow(x) for x in (t, edited, follower))
         assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        a, b = set(found[i].hashes), set(found[texts[(k + 1) % len(texts)][0]].hashes)
-        assert out[i].near_next == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        assert out[i].fingerprint == shown(own) and out[i].edited_fingerprint == shown(other)
+        for got, x in ((out[i].near_edited, other), (out[i].near_next, after)):
+            a, b = {h for _, h in own}, {h for _, h in x}
+            assert got == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
     assert len(fingerprints.edited_likeness(docs).collect()) == len(ROWS) and fingerprints.edited_likeness(none).collect() == []
 
 
+def test_fingerprints_find_every_shared_passage(spark):
+    """A passage of GRAM + WINDOW - 1 code points, without blanks, leaves a choice in every text that has it."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghijklmnop")
+    passage = "".join(rng.choice(letters, fingerprints.GRAM + fingerprints.WINDOW - 1))
+    rows = [(i, "".join(rng.choice(letters, int(rng.integers(0, 90)))) + passage + "".join(rng.choice(letters, int(rng.integers(0, 90))))) for i in range(60)]
+    found = [set(r.hashes) for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert set.intersection(*found)
+
+
 def test_fingerprint_ties_are_rightmost(spark):
-    text = "same " * 30
-    r = fingerprints.fingerprint(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    assert len(set(r.hashes)) == 1 and r.places == list(range(7, 27))
+    r = fingerprints.fingerprint(spark.createDataFrame([(1, "a" * 60)], "doc_id long, text string")).first()
+    assert len(set(r.hashes)) == 1 and r.places == list(range(fingerprints.WINDOW - 1, 60 - fingerprints.GRAM + 1))
 
 
 def test_chat_trees(spark):
