@@ -1,16 +1,19 @@
 """Line dedup over the suffix array of line-ID sequences, in DataFrame functions only.
 
 Each line's ID is a 64-bit hash. Lines that occur once end every repeat, so only the others are kept; neighbours among
-them form segments. Suffixes of segments are ranked by prefix doubling: the rank of a suffix is its first line's ID and
-the number of suffixes with the same first line that sort before it, first by one line, then by 2, 4, 8 ... lines: a
-round pairs each rank with the rank 2**k lines on, counts equal pairs, and adds up the counts within each rank. Pairs are
-counted before they are moved, so a line that fills a third of the table costs few rows.
+them form segments. Suffixes of segments are ranked by prefix doubling: a suffix has as its rank how many suffixes sort
+before it by their first line, then by 2, 4, 8 ... lines. A round pairs each rank with the rank 2**k lines on, counts
+equal pairs, and adds up the counts within each rank. Pairs are counted before they are moved, so a line that fills a third
+of the table costs few rows; where very many different lines follow a line, its pairs are added up in ranges of the second
+rank first, which are as even as ranks are, and then over the ranges, so no line has its followers in one task.
 
 A repeat counts from `min_words` words on. For every suffix the shortest prefix with so many words is looked up, and for
-every line the shortest run that ends with it: of 2**k to 2**(k+1) - 1 lines, a run is named by the ranks after round k at
-its start and at its end, which overlap. Runs of one name are an interval of the suffix array whose common prefix is long
-enough; the union of both kinds of runs is every maximal repeated run, to the line. The first run of an interval (by id,
-then line) stays, lines of later runs that don't overlap it are deleted, so each line's first occurrence always stays.
+every line the shortest run that ends with it. A run of n lines, 2**k <= n < 2**(k+1), is named by n and by the ranks after
+round k at its start and at 2**k lines before its end. Both ranks cover 2**k lines and overlap, so two runs have one name
+if and only if all their lines are equal, which is to say if the longest common prefix of their suffixes has n lines or
+more: runs of one name are an LCP interval, found without the array of all LCPs. The union of both kinds of runs is every
+maximal repeated run, to the line. The first run of an interval (by id, then line) stays, lines of later runs that don't
+overlap it are deleted, so each line's first occurrence always stays.
 
 Defined results: null text stays null; an empty text has one empty line; rows that repeat an id and a text are one
 document and come out alike; null ids come first; a table without repeats comes out unchanged; an empty table gives an
@@ -21,12 +24,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from foliant.llm.mixing import words
-from foliant.llm.runtime import Cut, columns_for, cut
+from foliant.llm.runtime import HEAVY, Cut, columns_for, cut, fresh, join_per_key
 
 MIN_WORDS = 50
-DOC = ["id", "th"]
+DOC = ["id", "known", "th"]
+#: Ranges of hashes over which distinct lines are added up, and of ranks that follow a frequent line.
+HASH_BITS, RANGES = 16, 256
 
 
 def _runs(active: DataFrame, min_words: int) -> DataFrame:
@@ -47,43 +53,63 @@ def _runs(active: DataFrame, min_words: int) -> DataFrame:
     return forward.select(*DOC, F.col("ln").alias("start"), "end").unionByName(backward.select(*DOC, "start", F.col("ln").alias("end"))).distinct()
 
 
-def _next_ranks(ranks: DataFrame, step: int) -> DataFrame:
+def _ranked(counts: DataFrame) -> DataFrame:
+    """counts (h, n) with r: how many lines sort before h. Added up in ranges of hashes, then over the ranges."""
+    top = counts.withColumn("top", F.shiftright("h", 64 - HASH_BITS))
+    ranges = top.groupBy("top").agg(F.sum("n").alias("size"))  # 2**HASH_BITS rows at most, whatever the input
+    before = lambda w: F.coalesce(F.sum(w[1]).over(w[0].rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select("top", before((Window.orderBy("top"), "size")).alias("start"))
+    return top.join(F.broadcast(ranges), "top").withColumn("r", F.col("start") + before((Window.partitionBy("top").orderBy("h"), "n"))).select("h", "n", "r")
+
+
+def _next_ranks(ranks: DataFrame, step: int, total: int) -> DataFrame:
     """Ranks by 2 * step lines from ranks by step lines."""
-    on = F.max(F.struct("h", "o")).over(Window.partitionBy(*DOC).orderBy("ln").rangeBetween(step, step))
-    pairs = cut(ranks.withColumn("on", on).select(*DOC, "ln", "h", "o", F.coalesce("on.h", F.lit(0)).alias("h2"), F.coalesce("on.o", F.lit(-1)).alias("o2")), "pairs")
-    kinds = pairs.groupBy("h", "o", "h2", "o2").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("h", "o").orderBy("h2", "o2").rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("more", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return pairs.join(kinds, ["h", "o", "h2", "o2"]).select(*DOC, "ln", "h", (F.col("o") + F.col("more")).alias("o"))
+    on = F.max("r").over(Window.partitionBy(*DOC).orderBy("ln").rangeBetween(step, step))
+    pairs = cut(ranks.withColumn("r2", F.coalesce(on, F.lit(-1))), "pairs")
+    kinds = cut(pairs.groupBy("r", "r2", "hot").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    before = lambda order: F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    few = kinds.filter("not hot").select("r", "r2", before(Window.partitionBy("r").orderBy("r2")).alias("more"))
+    many = kinds.filter("hot").withColumn("range", F.floor((F.col("r2") + 1) / F.lit(total // RANGES + 1)))
+    starts = many.groupBy("r", "range").agg(F.sum("n").alias("n")).select("r", "range", before(Window.partitionBy("r").orderBy("range")).alias("start"))
+    many = many.select("r", "r2", "range", before(Window.partitionBy("r", "range").orderBy("r2")).alias("within")).join(starts, ["r", "range"])
+    more = few.unionByName(many.select("r", "r2", (F.col("start") + F.col("within")).alias("more")))
+    return pairs.join(more, ["r", "r2"]).select(*DOC, "ln", (F.col("r") + F.col("more")).alias("r"), "hot")
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, deleted): line numbers (from 0) of later copies, for documents that have any; th is xxhash64 of the text."""
+    """(DOC, deleted): line numbers (from 0) of later copies, for documents that have any; th is xxhash64 of the text.
+
+    A null id is written as a zero (or empty string) that is not known, so that it joins.
+    """
     rows = docs.select(*columns_for(docs, id=id_col, text=text_col)).filter("text is not null")
-    lines = rows.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    zero = F.lit(0).cast(rows.schema["id"].dataType) if isinstance(rows.schema["id"].dataType, NumericType) else F.lit("")
+    rows = rows.select(F.coalesce("id", zero).alias("id"), F.col("id").isNotNull().alias("known"), "text")
+    lines = rows.select("id", "known", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
     lines = cut(lines.select(*DOC, "ln", F.xxhash64("line").alias("h"), words(F.col("line")).alias("w")), "lines")
-    repeated = lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    active = lines.join(repeated, "h").dropDuplicates([*DOC, "ln"])
+    counts = cut(_ranked(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")), "repeated")
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    active = join_per_key(lines, counts, "h", "n", total).withColumn("hot", F.col("n") * HEAVY > F.lit(total))
+    active = active.select(*DOC, "ln", "w", "r", "hot").repartition(*DOC).dropDuplicates([*DOC, "ln"])
     nth = F.row_number().over(Window.partitionBy(*DOC).orderBy("ln"))
     active = cut(active.withColumn("seg", F.col("ln") - nth), "active")
     runs = cut(_runs(active, min_words).withColumn("length", F.col("end") - F.col("start") + 1), "runs")
     longest = runs.agg(F.max("length").alias("n")).first().n or 0
 
-    ranks, found, step = Cut(active.select(*DOC, "ln", "h", F.lit(0).cast("long").alias("o")), "ranks"), None, 1
+    ranks, found, step = Cut(active.select(*DOC, "ln", "r", "hot"), "ranks"), None, 1
     while step <= longest:
         r = ranks.frame
-        first = r.select(*DOC, F.col("ln").alias("start"), F.struct("h", "o").alias("r1"))
-        last = r.select(*DOC, (F.col("ln") + (step - 1)).alias("end"), F.struct("h", "o").alias("r2"))
+        first = r.select(*DOC, F.col("ln").alias("start"), F.col("r").alias("r1"))
+        last = r.select(*DOC, (F.col("ln") + (step - 1)).alias("end"), F.col("r").alias("r2"))
         named = runs.filter((F.col("length") >= step) & (F.col("length") < 2 * step)).join(first, [*DOC, "start"]).join(last, [*DOC, "end"])
         named = cut(named, "named")
         name = ["length", "r1", "r2"]
-        intervals = named.groupBy(*name).agg(F.min(F.struct("id", "th", "start", "end")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        same = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("th") == F.col("keep.th"))
-        later = named.join(intervals.drop("n"), name).filter(~(same & (F.col("start") <= F.col("keep.end")))).select(*DOC, "start", "end")
+        intervals = named.groupBy(*name).agg(F.min(F.struct("known", "id", "th", "start", "end")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        same = (F.col("id") == F.col("keep.id")) & (F.col("known") == F.col("keep.known")) & (F.col("th") == F.col("keep.th"))
+        later = join_per_key(named, cut(intervals, "intervals"), name, "n", named.count()).filter(~(same & (F.col("start") <= F.col("keep.end")))).select(*DOC, "start", "end")
         found = later if found is None else found.unionByName(later)
         step *= 2
         if step <= longest:
-            following = Cut(_next_ranks(r, step // 2), "ranks")
+            following = Cut(_next_ranks(r, step // 2, total), "ranks")
             ranks.drop()
             ranks = following
     if found is None:
@@ -94,16 +120,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, marks: bool = False) -> DataFrame:
     """docs with the later copies of repeated runs taken out of the text; with marks also n_lines and deleted (sorted)."""
-    found = cut(repeated_lines(docs, id_col, text_col, min_words), "deleted").withColumnsRenamed({"id": "_id", "th": "_th", "deleted": "_deleted"})
+    own = fresh(docs, "id", "known", "th", "deleted")
+    found = cut(repeated_lines(docs, id_col, text_col, min_words), "deleted").toDF(*own)
     text = docs[f"`{text_col}`"]
     # what is deleted grows with the input, so it is never broadcast
-    joined = docs.join(found.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
+    joined = docs.join(found.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.when(F.col(own[1]), F.col(own[0]))) & (F.xxhash64(text) == F.col(own[2])), "left")
     lines = F.split(text, "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_deleted"))
-    clean = F.when(F.col("_deleted").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own[3]))
+    clean = F.when(F.col(own[3]).isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(lines, k)), "\n"))
     columns: list[Column] = [clean.alias(c) if c == text_col else docs[f"`{c}`"] for c in docs.columns]
     if marks:
-        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.array_sort(F.coalesce("_deleted", F.array().cast("array<int>"))).alias("deleted")]
+        columns += [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.array_sort(F.coalesce(own[3], F.array().cast("array<int>"))).alias("deleted")]
     return joined.select(*columns)
 
 

@@ -46,7 +46,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return Cut(df, name).frame
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str | list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """rows joined to per_key (one row for each key, whose size column counts its rows) without a hot task.
 
     Keys that hold more than 1/HEAVY of all rows are fewer than HEAVY, whatever the input: they are broadcast.
@@ -54,7 +54,16 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, size: str, total
     """
     heavy = F.broadcast(per_key.filter(F.col(size) * HEAVY > F.lit(total)))
     light = per_key.filter(F.col(size) * HEAVY <= F.lit(total))
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(light, key, how))
+    keys = [key] if isinstance(key, str) else key
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(*keys), key, "left_anti").join(light, key, how))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, made so that df has no column of any of them."""
+    taken, sign = {c.lower() for c in df.columns}, "_"
+    while any(f"{sign}{n}".lower() in taken for n in names):
+        sign += "_"
+    return [f"{sign}{n}" for n in names]
 
 
 def columns_for(docs: DataFrame, **wanted: str) -> list[Column]:

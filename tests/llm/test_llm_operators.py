@@ -276,6 +276,22 @@ def test_line_dedup_against_brute_force(spark):
         assert out == brute_lines(rows, least)
 
 
+def test_line_dedup_with_one_line_everywhere(spark):
+    """A line that fills a third of the table and is followed by many others: its followers are ranked in ranges."""
+    rng = np.random.default_rng(6)
+    lines = [f"follower {k}" for k in range(40)]
+    rows = []
+    for i in range(80):
+        out = []
+        for _ in range(12):
+            out += ["the common line of all"] * int(rng.integers(1, 3)) + [lines[int(rng.integers(40))]]
+        rows.append((i, "\n".join(out)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("extra") for c in ("_id", "_th", "_deleted", "__id")})
+    out = line_dedup.dedup_lines(df, min_words=14, marks=True).collect()
+    assert {r.doc_id: r.deleted for r in out} == brute_lines(rows, 14) and out[0]["_id"] == "extra"
+    assert sum(map(len, (r.deleted for r in out))) > 100
+
+
 def test_line_dedup_cases(docs, none):
     out = line_dedup.dedup_lines(docs, min_words=2).collect()
     by = {r.doc_id: r for r in out}
@@ -284,6 +300,13 @@ def test_line_dedup_cases(docs, none):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def test_line_dedup_null_ids_come_first(spark):
+    run = "\n".join(f"line {k} of the run" for k in range(5))
+    df = spark.createDataFrame([(None, run), (0, run), (1, f"head\n{run}")], "doc_id long, text string")
+    out = {r.doc_id: r.deleted for r in line_dedup.dedup_lines(df, min_words=10, marks=True).collect()}
+    assert out == {None: [], 0: [0, 1, 2, 3, 4], 1: [1, 2, 3, 4, 5]}
+
+
 def test_mixing(spark, docs, none):
     rng = np.random.default_rng(0)
     rows = [(i, "w " * int(rng.integers(0, 40)), f"s{min(9, int(rng.exponential(3)))}") for i in range(3000)]
