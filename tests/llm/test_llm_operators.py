@@ -337,9 +337,39 @@ def test_mixing(spark, docs, none):
     key = lambda d: sorted((r.doc_id, r.shard, r.draw) for r in d.collect())
     assert key(mixed) == key(again)
     assert set(mixing.mix(docs).columns) == {*docs.columns, "shard", "draw"}
+    clash = df.withColumns({c: F.lit(-7) for c in ("blocks", "_size", "_source", "_rank", "_row", "_draws", "whole", "shard")})
+    assert key(mixing.mix(clash, shards=8, per_shard=16)) == key(mixed) and {r["_size"] for r in mixing.mix(clash).collect()} == {-7}
     assert mixing.mix(none).collect() == []
 
 
+def test_op5_query(spark, tmp_path):
+    """The contract: one row per row, targets by the rule, words taken near them and at most twice; reruns agree."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "w " * int(rng.integers(0, 30)), [None, "b", "a", "c"][min(3, int(rng.exponential(1)))]) for i in range(900)]
+    rows += [(0, *rows[0][1:]), (None, "x y z", "a"), (5000, None, "a"), (5001, "", None)]
+    spark.createDataFrame(rows, SCHEMA).withColumn("size", F.lit("extra")).write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op5_source_mixing(spark, str(tmp_path)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, mixing.op5_source_mixing(spark, str(tmp_path)).collect()))
+    assert Counter((r.doc_id, r.size) for r in out) == Counter((i, len((t or "").split())) for i, t, _ in rows)
+    total, weight = Counter(), {"a": 3, "b": 1, "c": 2, None: 3}
+    for _, t, s in rows:
+        total[s] += len((t or "").split())
+    target, left, open_ = {}, 1.5 * sum(total.values()), dict(weight)
+    while full := [s for s in open_ if left * open_[s] / sum(open_.values()) > 2 * total[s]]:
+        for s in full:
+            target[s] = 2.0 * total[s]
+            left -= target[s]
+            del open_[s]
+    target |= {s: left * w / sum(open_.values()) for s, w in open_.items()}
+    by = {total[s]: s for s in total}
+    taken = Counter()
+    for r in out:
+        s = by[r.source_size]
+        assert r.target == pytest.approx(target[s]) and 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert all(abs(taken[s] - target[s]) <= 30 for s in total)
+
+
 def test_pieces(spark, docs, none):
     import sentencepiece
 
