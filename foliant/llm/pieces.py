@@ -2,20 +2,23 @@
 
 The vocabulary is that of a BPE model of the sentencepiece library (its path is a parameter). Text is cut into units, a
 run of spaces with the run of other characters after it, or a line feed: no piece has a space after another character or a
-line feed beside one, so merges never leave a unit. Within a unit the agenda holds every pair of neighbours whose union is a piece; the best (by score, then
-leftmost) is merged until none is left. A merge is skipped for good if a hash of seed, unit, variant and the span that it
-would cover is below the dropout, so the same key gives the same pieces, and other keys give other segmentations. A
-document's variant is a hash of seed and id, one of `variants`. Without dropout the pieces are those of the library.
+line feed beside one, so merges never leave a unit. Within a unit the agenda holds every pair of neighbours whose union is a
+piece; the best (by score, then leftmost) comes up, and is merged or skipped for good, until none is left. What decides is
+a hash keyed by the seed, the document, the unit's place in it and how many merges of the unit were skipped before: it says
+how many merges are made before the next is skipped, so that each is skipped with the chance `dropout`. Every occurrence of
+a word in every document is thus decided for itself, and the same key gives the same pieces. Without dropout the pieces are
+those of the library.
 
-All units of a run of texts are worked on together, each distinct (unit, variant) once, with one merge for each unit in a
-round; results are kept in a bounded table for the next run.
+What doesn't depend on the key is kept in a bounded table: a unit's pieces after merges number i, j, ... were skipped, and
+how many merges come up after that. It is a tree for each unit, from which an occurrence needs one place; all new places
+of a run of texts are worked on together, with one merge for each in a round.
 
 Characters without a piece become byte pieces, and so does the sign that stands for a space in pieces; decoding joins the
 bytes of pieces and takes off the first space, which encoding put there. So decode(encode(x)) = x for every text, whatever
 was skipped. Pieces are returned as little-endian 16-bit numbers (32-bit for vocabularies of more than 65,536).
 
-Defined results: null text gives null pieces and null decoded text; an empty text gives no pieces; an empty table gives
-an empty table; other columns are carried along.
+Defined results: null text gives null pieces and null decoded text; an empty text gives no pieces; rows of one id and text
+have the same pieces (unless `by_row` is set); an empty table gives an empty table; other columns are carried along.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
 from pathlib import Path
 
 import numpy as np
@@ -31,13 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.arrays import mix, token_hashes
+from foliant.llm.arrays import mix
 from foliant.llm.runtime import released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, VARIANTS, SEED = 0.1, 4, 1
-#: Distinct (unit, variant) whose pieces a worker keeps, and characters that are worked on at once.
-KEPT, RUN_CHARS = 150_000, 1 << 20
+DROPOUT, SEED = 0.1, 1
+#: Places of trees that a worker keeps, and characters that are worked on at once.
+KEPT, RUN_CHARS = 400_000, 1 << 20
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 BATCH = 1000
@@ -45,6 +49,23 @@ BATCH = 1000
 LONG = 48
 
 
+def units_of(text: str) -> list[str]:
+    """Units of a text, which begins with the space that encoding puts there."""
+    if not text:
+        return []
+    text = " " + text
+    if "  " in text:
+        return UNIT.findall(text)
+    out = []
+    for line in text.split("\n"):
+        first, *words = line.split(" ")
+        if first:
+            out.append(first)
+        out += [" " + w for w in words]
+        out.append("\n")
+    return out[:-1]
+
+
 class Pieces:
     """Vocabulary, merges by pair, and bytes by piece of a BPE model with byte fallback."""
 
@@ -64,6 +85,9 @@ class Pieces:
             self.text[i] = bytes([b])
         for i in normal:
             self.text[i] = names[i].replace(SPACE, " ").encode()
+        self.bytes_of = np.frombuffer(b"".join(self.text), np.uint8)
+        self.sizes = np.array([len(t) for t in self.text], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         # symbols: pieces by id, then single characters that have no piece, which only byte pieces can show
         pairs = {}
         for name, i in self.ids.items():
@@ -125,115 +149,108 @@ class Pieces:
         return np.array(out, self.dtype).tobytes()
 
 
-def _skipped(keys: np.ndarray, start: np.ndarray, end: np.ndarray, dropout: float) -> np.ndarray:
-    x = mix(keys + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + end.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-    return (x >> np.uint64(11)).astype(np.float64) < dropout * float(1 << 53)
-
+NEVER = np.iinfo(np.int32).max
 
-def _keys(units: list[str], variant: int, seed: int) -> np.ndarray:
-    data = [u.encode("utf-8", "surrogatepass") for u in units]
-    ends = np.cumsum([len(d) for d in data])
-    h = token_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
-    return mix(h ^ mix(np.array([seed * 1_000_003 + variant + 1], np.uint64)))
 
+def segment(p: Pieces, units: list[str], skips: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Packed pieces of each unit, and how many merges came up.
 
-def segment(p: Pieces, units: list[str], variant: int, dropout: float, seed: int) -> list[bytes]:
-    """Packed pieces of each unit."""
-    out = [b""] * len(units)
-    by_length = sorted(range(len(units)), key=lambda i: len(units[i]))
-    while by_length and len(units[by_length[-1]]) > LONG:
-        i = by_length.pop()
-        out[i] = p.shown(_agenda(p, units[i], variant, dropout, seed))
+    skips: a row for each unit with the merges that are skipped, by the order in which they come up (from 0), then NEVER.
+    """
+    out, rounds = [b""] * len(units), np.zeros(len(units), np.int64)
+    length = np.fromiter(map(len, units), np.int64, len(units))
+    by_length = np.argsort(length, kind="stable")
+    length = length[by_length]
     first = 0
-    while first < len(by_length):
-        width = max(6, -(-len(units[by_length[first]]) // 3) * 3)
-        last = first
-        while last < len(by_length) and len(units[by_length[last]]) <= width and (last - first) * width < 1 << 19:
-            last += 1
-        _merge(p, units, by_length[first:last], width, variant, dropout, seed, out)
+    while first < len(units):
+        width = max(6, -(-int(length[first]) // 3) * 3)
+        last = min(int(np.searchsorted(length, width, "right")), first + max(1, (1 << 19) // width))
+        chosen = by_length[first:last]
+        _merge(p, [units[i] for i in chosen.tolist()], chosen, width, skips[chosen], out, rounds)
         first = last
-    return out
+    return out, rounds
 
 
-def _merge(p: Pieces, units: list[str], chosen: list[int], width: int, variant: int, dropout: float, seed: int, out: list[bytes]) -> None:
-    texts = [units[i] for i in chosen]
-    n, none = len(texts), np.iinfo(np.int32).max
+def _merge(p: Pieces, texts: list[str], chosen: np.ndarray, width: int, skips: np.ndarray, out: list[bytes], rounds: np.ndarray) -> None:
+    n, none = len(texts), NEVER
     length = np.fromiter(map(len, texts), np.int32, n)
     sym = np.full((n, width + 1), -(1 << 30), np.int32)  # what is no character is no part of a piece
     sym[np.arange(width + 1)[None, :] < length[:, None]] = p.chars[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
-    edge = np.tile(np.arange(width + 2, dtype=np.uint8), (n, 1))  # symbol k covers characters edge[k] to edge[k + 1]
-    keys = _keys(texts, variant, seed) if dropout else None
     made = p.lookup(sym[:, :-1], sym[:, 1:])
     rank = np.where(made >= 0, p.rank[made], none)
-    if dropout:
-        r, c = np.nonzero(made >= 0)
-        skip = _skipped(keys[r], c, c + 2, dropout)
-        rank[r[skip], c[skip]] = none
-    live = np.arange(n)
+    live, skipped, now = np.arange(n), np.zeros(n, np.int32), 0
     while len(live):
         at = rank.argmin(axis=1)
         rows = np.arange(len(live))
         over = rank[rows, at] == none
         if over.any():
             ended = sym[over]
+            rounds[chosen[live[over]]] = now
             inside = np.arange(sym.shape[1])[None, :] < length[over][:, None]
             if int(np.where(inside, ended, 0).min()) >= 0:
                 flat, ends = ended[inside].astype(p.dtype).tobytes(), np.cumsum(length[over]) * p.dtype.itemsize
-                for i, a, b in zip(live[over].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                    out[chosen[i]] = flat[a:b]
+                for i, a, b in zip(chosen[live[over]].tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out[i] = flat[a:b]
             else:
-                for i, row, m in zip(live[over].tolist(), ended, length[over].tolist(), strict=True):
-                    out[chosen[i]] = p.shown(row[:m].tolist())
+                for i, row, m in zip(chosen[live[over]].tolist(), ended, length[over].tolist(), strict=True):
+                    out[i] = p.shown(row[:m].tolist())
             go = ~over
-            live, length, at = live[go], length[go], at[go]
+            live, length, at, skips, skipped = live[go], length[go], at[go], skips[go], skipped[go]
             if not len(live):
                 break
             most = int(length.max())
-            sym, edge, rank, rows = sym[go, : most + 1], edge[go, : most + 2], rank[go, :most], rows[: len(live)]
-            keys = keys[go] if dropout else None
+            sym, rank, rows = sym[go, : most + 1], rank[go, :most], rows[: len(live)]
+        skip = skips[rows, skipped] == now
+        now += 1
+        if skip.any():
+            rank[rows[skip], at[skip]] = none
+            skipped[skip] += 1
+            rows, at = rows[~skip], at[~skip]
+            if not len(rows):
+                continue
         sym[rows, at] = p.lookup(sym[rows, at], sym[rows, at + 1])
-        # take out symbol at + 1, the bound before it and a pair
-        for x in (sym, edge, rank):
-            np.copyto(x[:, :-1], x[:, 1:].copy(), where=np.arange(x.shape[1] - 1)[None, :] > at[:, None])
-        rank[:, -1] = none
-        length -= 1
+        # take out symbol at + 1 and the pair before it
+        behind = np.full(len(live), sym.shape[1], np.int64)
+        behind[rows] = at
+        for x in (sym, rank):
+            np.copyto(x[:, :-1], x[:, 1:].copy(), where=np.arange(x.shape[1] - 1)[None, :] > behind[:, None])
+        rank[rows, -1] = none
+        length[rows] -= 1
         for side in (at - 1, at):  # only the pairs beside the new symbol change
-            ok = (side >= 0) & (side + 1 < length)
+            ok = (side >= 0) & (side + 1 < length[rows])
             r, c = rows[ok], side[ok]
             made = p.lookup(sym[r, c], sym[r, c + 1])
-            value = np.where(made >= 0, p.rank[made], none)
-            if dropout:
-                value[_skipped(keys[r], edge[r, c], edge[r, c + 2], dropout)] = none
-            rank[r, c] = value
+            rank[r, c] = np.where(made >= 0, p.rank[made], none)
             ends = ~ok & (side >= 0)
             rank[rows[ends], side[ends]] = none
 
 
-def _agenda(p: Pieces, unit: str, variant: int, dropout: float, seed: int) -> list[int]:
-    """The same for one long unit: candidates in a heap, symbols in a linked list."""
+def _agenda(p: Pieces, unit: str, gaps: Iterator[int]) -> list[int]:
+    """The same for one long unit: candidates in a heap, symbols in a linked list. gaps: merges made before each skip."""
     symbols, n = p.symbols(unit), len(unit)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # by start: where the symbol ends, and who stands before
-    key = _keys([unit], variant, seed)
     heap: list[tuple[int, int, int, int]] = []
 
-    def add(pairs: list[tuple[int, int]]) -> None:
-        pairs = [(a, b) for a, b in pairs if 0 <= a and b < n and (symbols[a] << 32 | symbols[b]) in p.pair and symbols[a] >= 0 <= symbols[b]]
-        if pairs:
-            start, end = np.array([a for a, _ in pairs]), np.array([ends[b] for _, b in pairs])
-            out = _skipped(np.repeat(key, len(pairs)), start, end, dropout) if dropout else np.zeros(len(pairs), bool)
-            for (a, b), skip in zip(pairs, out, strict=True):
-                if not skip:
-                    heapq.heappush(heap, (int(p.rank[p.pair[symbols[a] << 32 | symbols[b]]]), a, b, ends[b]))
+    def add(a: int, b: int) -> None:
+        if 0 <= a and b < n and symbols[a] >= 0 <= symbols[b] and (made := p.pair.get(symbols[a] << 32 | symbols[b])) is not None:
+            heapq.heappush(heap, (int(p.rank[made]), a, b, ends[b]))
 
-    add([(i, i + 1) for i in range(n - 1)])
+    for i in range(n - 1):
+        add(i, i + 1)
+    left = next(gaps)
     while heap:
         _, a, b, end = heapq.heappop(heap)
         if ends[a] != b or ends[b] != end:
             continue
+        if not left:
+            left = next(gaps)
+            continue
+        left -= 1
         symbols[a], ends[a], ends[b] = p.pair[symbols[a] << 32 | symbols[b]], end, -1
         if end < n:
             before[end] = a
-        add([(before[a], a), (a, end)])
+        add(before[a], a)
+        add(a, end)
     out, at = [], 0
     while at < n:
         out.append(symbols[at])
@@ -241,38 +258,188 @@ def _agenda(p: Pieces, unit: str, variant: int, dropout: float, seed: int) -> li
     return out
 
 
+class Gaps:
+    """How many merges are made before the next is skipped, from a hash: k or more with the chance (1 - dropout)**k."""
+
+    def __init__(self, dropout: float):
+        self.dropout = dropout
+        chances, x = [], 1.0
+        while dropout and x * (1 << 53) > 1 and len(chances) < 1 << 20:
+            x *= 1 - dropout
+            chances.append(int(x * (1 << 53)))
+        self.table = np.array(chances[::-1], np.int64)
+        # by the first 12 bits, where they decide
+        low, high = (self._search((np.arange(1 << 12) << 41) + x) for x in (0, (1 << 41) - 1))
+        self.known = np.where(low == high, low, -1)
+
+    def _search(self, x: np.ndarray) -> np.ndarray:
+        return len(self.table) - np.searchsorted(self.table, x, "right")
+
+    def of(self, keys: np.ndarray, places: np.ndarray, level: int) -> np.ndarray:
+        """keys: of documents; places of units in them; level: merges of the unit that were skipped before."""
+        if not self.dropout:
+            return np.full(len(keys), NEVER, np.int64)
+        x = mix(mix(keys + places.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64((level + 1) * 0xC2B2AE3D27D4EB4F % (1 << 64)))
+        x = (x >> np.uint64(11)).astype(np.int64)
+        out = self.known[x >> 41]
+        open_ = np.flatnonzero(out < 0)
+        out[open_] = self._search(x[open_])
+        return out
+
+    def skips(self, keys: np.ndarray, places: np.ndarray, level: int, last: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Merges that are skipped after the last, by their order, as far as `most`; at least one column."""
+        out, at = [], last.astype(np.int64)
+        while not out or (at < most).any():
+            at = np.minimum(at + 1 + self.of(keys, places, level), NEVER)
+            out.append(at)
+            level += 1
+        return np.stack(out, axis=1)
+
+    def one(self, key: int, place: int) -> Iterator[int]:
+        level = 0
+        while True:
+            yield int(self.of(np.array([key], np.uint64), np.array([place]), level)[0])
+            level += 1
+
+
+class Trees:
+    """Pieces of units by the merges that were skipped; a place is (unit, skips), known by a number.
+
+    last, parent: the merge that was skipped last, and the place without it (-1 at a root, where none was); after: how many
+    merges come up after that; hits: how often the place was reached.
+    """
+
+    def __init__(self, p: Pieces, kept: int):
+        self.p, self.kept = p, kept
+        self.roots: dict[str, int] = {}
+        self.below: dict[int, int] = {}  # by place << 32 | merges made before the next skip
+        self.units: list[str] = []
+        self.packed: list[bytes] = []
+        self.last, self.parent, self.after, self.hits = (np.zeros(1 << 12, np.int32) for _ in range(4))
+
+    def add(self, units: list[str], last: np.ndarray, parent: np.ndarray, further: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """Pieces of each unit, and its new place. further: merges that are skipped beyond the place; where one of them came
+        up, the pieces are those of a place further on, of which the numbers are not known (-1)."""
+        at = parent
+        skips = np.concatenate([np.where(last >= 0, last, NEVER)[:, None].astype(np.int32), further, np.full((len(units), 1), NEVER, np.int32)], axis=1)
+        while (at >= 0).any():
+            skips = np.concatenate([np.where((at >= 0) & (self.last[at] >= 0), self.last[at], NEVER)[:, None], skips], axis=1)
+            at = np.where(at >= 0, self.parent[at], -1)
+        packed, rounds = segment(self.p, units, np.sort(skips, axis=1))
+        here = rounds <= further[:, 0]
+        place = np.where(here, len(self.packed) - 1 + np.cumsum(here), -1)
+        n = len(self.packed) + int(here.sum())
+        while len(self.last) < n:
+            self.last, self.parent, self.after, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.last, self.parent, self.after, self.hits))
+        new = slice(len(self.packed), n)
+        self.last[new], self.parent[new], self.after[new], self.hits[new] = last[here], parent[here], (rounds - (last + 1))[here], 0
+        which = np.flatnonzero(here).tolist()
+        self.units += [units[i] for i in which]
+        self.packed += [packed[i] for i in which]
+        return packed, place
+
+    def reached(self, places: np.ndarray) -> None:
+        n = len(self.packed)
+        self.hits[:n] += np.bincount(places, minlength=n).astype(np.int32)
+
+    def shrink(self) -> None:
+        """Beyond the bound, only the places reached most often stay; who reaches one has reached its parent."""
+        n = len(self.packed)
+        if n <= self.kept:
+            return
+        least = max(1, int(np.partition(self.hits[:n], n - self.kept // 2)[n - self.kept // 2]) + 1)
+        stay = np.flatnonzero(self.hits[:n] >= least)
+        number = np.full(n + 1, -1, np.int64)
+        number[stay] = np.arange(len(stay))
+        to = number.tolist()
+        self.roots = {u: to[i] for u, i in self.roots.items() if to[i] >= 0}
+        self.below = {to[c >> 32] << 32 | c & 0xFFFFFFFF: to[i] for c, i in self.below.items() if to[i] >= 0}
+        self.units, self.packed = [self.units[i] for i in stay.tolist()], [self.packed[i] for i in stay.tolist()]
+        for x in (self.last, self.after, self.hits):
+            x[: len(stay)] = x[stay]
+        self.parent[: len(stay)] = number[self.parent[stay]]
+        self.hits[: len(stay)] //= 2
+
+
 class Encoder:
-    def __init__(self, model: bytes, dropout: float = DROPOUT, variants: int = VARIANTS, seed: int = SEED):
-        self.pieces, self.dropout, self.variants, self.seed = Pieces(model), dropout, variants if dropout else 1, seed
-        self.kept: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+    def __init__(self, model: bytes, dropout: float = DROPOUT, seed: int = SEED):
+        self.pieces, self.gaps, self.seed = Pieces(model), Gaps(dropout), seed
+        self.trees = Trees(self.pieces, KEPT)
 
     def encode(self, texts: list[str | None], keys: list[int]) -> Iterator[bytes | None]:
-        """Pieces of each text as packed numbers; keys choose the variants."""
+        """Pieces of each text as packed numbers; keys: of documents, as 64-bit numbers."""
         first = 0
         while first < len(texts):
             last, size = first, 0
             while last < len(texts) and (last == first or size + len(texts[last] or "") <= RUN_CHARS):
                 size += len(texts[last] or "")
                 last += 1
-            rows = [(UNIT.findall(" " + text) if text else [], key % self.variants) for text, key in zip(texts[first:last], keys[first:last], strict=True)]
-            wanted: list[set[str]] = [set() for _ in self.kept]
-            for units, v in rows:
-                if units:
-                    wanted[v].update(units)
-            if sum(map(len, self.kept)) > KEPT:
-                self.kept = [{} for _ in self.kept]
-            for v, (want, have) in enumerate(zip(wanted, self.kept, strict=True)):
-                new = list(want.difference(have))
-                have.update(zip(new, segment(self.pieces, new, v, self.dropout, self.seed), strict=True))
-            for (units, v), text in zip(rows, texts[first:last], strict=True):
-                yield None if text is None else b"".join(map(self.kept[v].__getitem__, units))
+            rows = [units_of(text or "") for text in texts[first:last]]
+            packed, at = self._run(rows, np.array(keys[first:last], np.int64).view(np.uint64)), 0
+            for units, text in zip(rows, texts[first:last], strict=True):
+                yield None if text is None else b"".join(packed[at : at + len(units)])
+                at += len(units)
             first = last
 
-    def decode(self, packed: bytes | None) -> str | None:
-        if packed is None:
-            return None
-        text = self.pieces.text
-        return b"".join([text[i] for i in np.frombuffer(packed, self.pieces.dtype).tolist()])[1:].decode("utf-8", "surrogatepass")
+    def _run(self, rows: list[list[str]], keys: np.ndarray) -> list[bytes]:
+        trees = self.trees
+        trees.shrink()
+        counts = np.array([len(units) for units in rows], np.int64)
+        key = np.repeat(keys, counts)
+        place = np.arange(len(key)) - np.repeat(np.cumsum(counts) - counts, counts)
+        units = list(chain.from_iterable(rows))
+        long = np.flatnonzero(np.fromiter(map(len, units), np.int64, len(units)) > LONG).tolist()
+        alone = {i: self.pieces.shown(_agenda(self.pieces, units[i], self.gaps.one(int(key[i]), int(place[i])))) for i in long}
+        for i in long:
+            units[i] = "\n"
+
+        def reach(which: np.ndarray, names: list, known: dict, last: np.ndarray, parent: np.ndarray, level: int) -> np.ndarray:
+            """Move occurrences to the places of these names; those that have theirs alone are left out of what comes back."""
+            found = np.fromiter(map(known.get, names, repeat(-1)), np.int64, len(names))
+            missing = np.flatnonzero(found < 0)
+            if len(missing):
+                number: dict = {}
+                which_name = np.array([number.setdefault(names[i], len(number)) for i in missing.tolist()])
+                first = np.zeros(len(number), np.int64)
+                first[which_name[::-1]] = missing[::-1]
+                w = which[first]
+                mine = [units[i] for i in w.tolist()]
+                further = np.full((len(first), 1), NEVER, np.int32)
+                once = np.bincount(which_name) == 1
+                # an occurrence that is the only one is taken to its end at once
+                if self.gaps.dropout and once.any():
+                    further = np.where(once[:, None], self.gaps.skips(key[w], place[w], level, last[first], 4 * np.fromiter(map(len, mine), np.int64, len(mine))), NEVER).astype(np.int32)
+                packed, places = trees.add(mine, last[first], parent[first], further)
+                known.update(compress(zip(number, places.tolist(), strict=True), (places >= 0).tolist()))
+                alone.update((i, packed[k]) for k, i in zip(np.flatnonzero(places < 0).tolist(), w[places < 0].tolist(), strict=True))
+                found[missing] = places[which_name]
+            at[which] = found
+            trees.reached(found[found >= 0])
+            return which[found >= 0]
+
+        at, none = np.full(len(units), -1, np.int64), np.full(len(units), -1, np.int32)
+        live, level = reach(np.arange(len(units)), units, trees.roots, none, none, 0), 0
+        while len(live) and self.gaps.dropout:
+            gaps = self.gaps.of(key[live], place[live], level)
+            more = gaps < trees.after[at[live]]
+            live, gaps, level = live[more], gaps[more], level + 1
+            live = reach(live, (at[live] << 32 | gaps).tolist(), trees.below, trees.last[at[live]] + 1 + gaps.astype(np.int32), at[live].astype(np.int32), level)
+        packed = list(map(trees.packed.__getitem__, at.tolist())) if trees.packed else [b""] * len(units)
+        for i, x in alone.items():
+            packed[i] = x
+        return packed
+
+    def decode(self, packed: list[bytes | None]) -> list[str | None]:
+        p, out = self.pieces, []
+        for first in range(0, len(packed), 100):
+            some = packed[first : first + 100]
+            ids = np.frombuffer(b"".join(x or b"" for x in some), p.dtype)
+            sizes = p.sizes[ids]
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            data = p.bytes_of[np.arange(ends[-1]) + np.repeat(p.starts[ids] - ends[:-1], sizes)].tobytes()
+            bounds = ends[np.cumsum([0, *(len(x or b"") // p.dtype.itemsize for x in some)])].tolist()
+            out += [None if x is None else data[a:b][1:].decode("utf-8", "surrogatepass") for x, a, b in zip(some, bounds[:-1], bounds[1:], strict=True)]
+        return out
 
 
 _encoders: dict[tuple, Encoder] = {}
@@ -293,13 +460,13 @@ def _encoded(check: bool, model, options: dict):
         for whole in batches:
             for at in range(0, len(whole), BATCH):  # what is in Python at once is small
                 batch = whole.slice(at, BATCH)
-                texts = batch.column("_text").to_pylist()
-                packed = list(e.encode(texts, batch.column("_key").to_pylist()))
+                texts = batch.column("text").to_pylist()
+                packed = list(e.encode(texts, batch.column("key").to_pylist()))
                 counts = [None if p is None else len(p) // e.pieces.dtype.itemsize for p in packed]
-                rest = batch.drop_columns(["_key", "_text"])
+                rest = batch.drop_columns(["key", "text"])
                 columns, names = [*rest.columns, pa.array(packed, pa.binary()), pa.array(counts, pa.int64())], [*rest.schema.names, "pieces", "n_pieces"]
                 if check:
-                    back = [e.decode(p) for p in packed]
+                    back = e.decode(packed)
                     columns.append(pa.array([None if b is None else hashlib.sha256(b.encode("utf-8", "surrogatepass")).hexdigest() for b in back], pa.string()))
                     columns.append(pa.array([a == b for a, b in zip(texts, back, strict=True)]))
                     names += ["decoded_sha256", "lossless"]
@@ -312,8 +479,8 @@ def _decoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(model.value)
         for batch in batches:
-            text = [e.decode(p) for p in batch.column("_pieces").to_pylist()]
-            rest = batch.drop_columns(["_pieces"])
+            text = e.decode(batch.column("pieces").to_pylist())
+            rest = batch.drop_columns(["pieces"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(text, pa.string())], [*rest.schema.names, "decoded"])
 
     return run
@@ -324,27 +491,35 @@ def _sent(spark: SparkSession, model: str):
     return spark.sparkContext.broadcast(Path(model).read_bytes())  # half a MB, read where the driver is
 
 
-def _kinds(df: DataFrame, names: list[str]) -> str:
-    return "".join(f"`{n}` {df.schema[n].dataType.simpleString()}, " for n in names)
+def _carried(df: DataFrame, names: list[str]) -> tuple[list, str, list[str]]:
+    """The columns under names of our own, their types, and the way back."""
+    inner = [f"c{i}" for i in range(len(names))]
+    return [df[f"`{n}`"].alias(c) for n, c in zip(names, inner, strict=True)], "".join(f"{c} {df.schema[n].dataType.simpleString()}, " for n, c in zip(names, inner, strict=True)), inner
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, check: bool = False, **options) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, model: str = MODEL, check: bool = False, by_row: bool = False, **options) -> DataFrame:
     """The columns in keep (all if None) with pieces (packed numbers) and n_pieces, in place and without a shuffle.
 
-    check: also decodes, and adds decoded_sha256 and lossless.
+    check: also decodes, and adds decoded_sha256 and lossless. by_row: rows that repeat an id are decided for themselves,
+    by their place in the files that docs reads. options: dropout, seed.
     """
-    more = ["decoded_sha256", "lossless"] if check else []
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("pieces", "n_pieces", *more)]
-    rows = docs.select(*[docs[f"`{c}`"] for c in keep], F.pmod(F.xxhash64(F.lit(options.get("seed", SEED)), docs[f"`{id_col}`"]), F.lit(1 << 30)).alias("_key"), docs[f"`{text_col}`"].alias("_text"))
+    more = ["pieces", "n_pieces", *(["decoded_sha256", "lossless"] if check else [])]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in more]
+    columns, kinds, inner = _carried(docs, keep)
+    key = F.xxhash64(F.lit(options.get("seed", SEED)), docs[f"`{id_col}`"], *([F.monotonically_increasing_id()] if by_row else []))
+    rows = docs.select(*columns, key.alias("key"), docs[f"`{text_col}`"].alias("text"))
     checked = ", decoded_sha256 string, lossless boolean" if check else ""
-    return rows.mapInArrow(released(_encoded(check, _sent(docs.sparkSession, model), options)), f"{_kinds(docs, keep)}pieces binary, n_pieces long{checked}")
+    out = rows.mapInArrow(released(_encoded(check, _sent(docs.sparkSession, model), options)), f"{kinds}pieces binary, n_pieces long{checked}")
+    return out.select(*[F.col(c).alias(n) for c, n in zip(inner, keep, strict=True)], *more)
 
 
 def decode(encoded: DataFrame, model: str = MODEL, pieces_col: str = "pieces") -> DataFrame:
     """encoded with the column decoded."""
     keep = [c for c in encoded.columns if c != "decoded"]
-    rows = encoded.select(*[encoded[f"`{c}`"] for c in keep], encoded[f"`{pieces_col}`"].alias("_pieces"))
-    return rows.mapInArrow(released(_decoded(_sent(encoded.sparkSession, model))), f"{_kinds(encoded, keep)}decoded string")
+    columns, kinds, inner = _carried(encoded, keep)
+    rows = encoded.select(*columns, encoded[f"`{pieces_col}`"].alias("pieces"))
+    out = rows.mapInArrow(released(_decoded(_sent(encoded.sparkSession, model))), f"{kinds}decoded string")
+    return out.select(*[F.col(c).alias(n) for c, n in zip(inner, keep, strict=True)], "decoded")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

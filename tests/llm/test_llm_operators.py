@@ -374,7 +374,7 @@ def test_pieces(spark, docs, none):
     import sentencepiece
 
     texts = ["Hello  world\n", "", " ", None, "▁x ▁", "日本 éa\u0000b", "a" * 5000, "The " * 300, "  lead and trail  "]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("pieces", "decoded", "_x")})
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({c: F.lit(1) for c in ("pieces", "decoded", "_x", "_text", "_key", "key", "c0", "n_pieces")})
     both = pieces.decode(pieces.encode(df))
     assert {r.doc_id: r.decoded for r in both.collect()} == dict(enumerate(texts))
     sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
@@ -388,6 +388,69 @@ def test_pieces(spark, docs, none):
     assert pieces.encode(none).collect() == [] and len(pieces.encode(docs).collect()) == len(ROWS)
 
 
+def brute_pieces(p, text, key, dropout, seed):
+    """Merges one by one, each made or skipped by the hash of its document, unit and number of skips before."""
+    out, gaps = b"", pieces.Gaps(dropout)
+    for place, unit in enumerate(pieces.UNIT.findall(" " + text)):
+        symbols, gone, level = p.symbols(unit), set(), 0
+        spans = [(i, i + 1) for i in range(len(unit))]
+        left = int(gaps.of(np.array([key], np.uint64), np.array([place]), 0)[0])
+        while True:
+            can = [(int(p.rank[p.pair[a << 32 | b]]), i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a >= 0 <= b and (a << 32 | b) in p.pair and (spans[i], spans[i + 1]) not in gone]
+            if not can:
+                break
+            _, i = min(can)
+            if left:
+                left -= 1
+                symbols[i : i + 2] = [p.pair[symbols[i] << 32 | symbols[i + 1]]]
+                spans[i : i + 2] = [(spans[i][0], spans[i + 1][1])]
+            else:
+                gone.add((spans[i], spans[i + 1]))
+                level += 1
+                left = int(gaps.of(np.array([key], np.uint64), np.array([place]), level)[0])
+        out += p.shown(symbols)
+    return out
+
+
+def test_pieces_with_dropout_against_brute_force():
+    rng = np.random.default_rng(1)
+    words = ["the", "information", "  of", "Ünïcode", "日本", "aaaaaaaaaaaaaaa", "internationalization", "\n", "x" * 60, "der", "que"]
+    for dropout in (0.1, 0.4, 0.9):
+        e = pieces.Encoder(open(pieces.MODEL, "rb").read(), dropout=dropout)
+        texts = [" ".join(rng.choice(words, 30)) for _ in range(40)] + ["", None]
+        keys = rng.integers(-(1 << 62), 1 << 62, len(texts)).tolist()
+        got = list(e.encode(texts, keys))
+        for t, k, x in zip(texts, keys, got):
+            assert x == (None if t is None else brute_pieces(e.pieces, t, k % (1 << 64), dropout, 1) if t else b"")
+        assert e.decode(got) == texts
+
+
+def test_units_are_those_of_the_pattern():
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        text = "".join(rng.choice(list("ab \n"), int(rng.integers(1, 12)), p=[0.3, 0.3, 0.2, 0.2]))
+        assert pieces.units_of(text) == pieces.UNIT.findall(" " + text)
+
+
+def test_pieces_vary_by_document_and_place(spark):
+    """The same word is decided anew at every place and in every document; so are copies of a row, if asked for."""
+    e = pieces.Encoder(open(pieces.MODEL, "rb").read())
+    text = " ".join(["internationalization"] * 400)
+    seen = {bytes(x) for x in e._run([pieces.UNIT.findall(" " + text)], np.array([7], np.uint64))}
+    assert len(seen) > 20
+    shares = np.mean([len(x) for x in e.encode([text] * 20, list(range(20)))]) / len(list(pieces.Encoder(open(pieces.MODEL, "rb").read(), dropout=0.0).encode([text], [0]))[0])
+    assert shares > 1.1
+    df = spark.createDataFrame([(1, text), (1, text), (2, text)], "doc_id long, text string").coalesce(1)
+    same, other = (pieces.encode(df, by_row=b).collect() for b in (False, True))
+    assert same[0].pieces == same[1].pieces != same[2].pieces and other[0].pieces != other[1].pieces
+
+
+def test_op6_query(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = pieces.op6_sentencepiece(spark, str(tmp_path)).collect()
+    assert len(out) == len(ROWS) and all(r.lossless for r in out)
+    want = Counter((i, None if t is None else hashlib.sha256(t.encode()).hexdigest()) for i, t, _ in ROWS)
+    assert Counter((r.doc_id, r.decoded_sha256) for r in out) == want
 
 
 def brute_winnow(text):
