@@ -6,8 +6,9 @@ if one of its places counts one, the text has no copy and its row passes straigh
 their whole hash, so a false alarm of the filter costs a shuffled row and never a wrong result.
 
 The filter is blocked: the hash picks a block of 65,536 places and four places in it. Blocks are made side by side, each
-from its own hashes. It has about 8 places for each document and at most `filter_bytes` bytes, which bounds what the
-driver gathers and broadcasts; with more documents than that, more rows shuffle, and results stay the same.
+from its own hashes. There are about 8 places for each document at every size. What the driver gathers and broadcasts at
+once is `filter_bytes` at most (for about 33 million documents): beyond that, hashes are dealt to ranges as they are written, and the
+two passes are made range by range, each over its own files, so every hash is still read twice and written once.
 
 Defined results: null text counts as empty; null ids count as smallest; of rows that repeat an id and a text one is
 kept; an empty table gives an empty table; other columns of the input are not touched, whatever their names are.
@@ -25,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.runtime import columns_for, cut, join_per_key, released, small_batches
+from foliant.llm.runtime import Cut, columns_for, cut, fresh, join_per_key, released, small_batches
 
 PLACES = 1 << 16
 FILTER_BYTES = 32 << 20
+PER_DOC = 8
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,23 +87,41 @@ def _lookup(bits: int, blocks):
     return run
 
 
+def _filter(rows: DataFrame, bits: int):
+    """First pass: which places more than one hash of rows (sha) was put into, sent to all workers."""
+    blocks = bytearray(PLACES // 8 << bits)  # filter_bytes at most
+    inserts = rows.select("sha").mapInArrow(released(_inserts(bits)), "block int, inserts binary")
+    for x in inserts.groupBy("block").applyInPandas(_block, "block int, places binary").collect():
+        blocks[x.block * PLACES // 8 : (x.block + 1) * PLACES // 8] = x.places
+    return rows.sparkSession.sparkContext.broadcast(bytes(blocks))
+
+
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256, and possible (looked up as maybe repeated)."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(*columns_for(docs, id=id_col, text=text_col), F.monotonically_increasing_id().alias("token"))
-    rows = cut(rows.mapInArrow(released(_digest), f"id {kind}, token long, sha binary"), "digests")
-    total = rows.count()
-
+    total = docs.count()
     bits, most = 0, max(0, min(24, (filter_bytes * 8 // PLACES).bit_length() - 1))
-    while bits < most and total * 8 > PLACES << bits:
+    ranges = -(-total * PER_DOC // (PLACES << most)) or 1
+    while bits < most and total * PER_DOC > ranges * (PLACES << bits):
         bits += 1
-    inserts = rows.select("sha").mapInArrow(released(_inserts(bits)), "block int, inserts binary")
-    blocks = bytearray(PLACES // 8 << bits)
-    for x in inserts.groupBy("block").applyInPandas(_block, "block int, places binary").collect():  # filter_bytes at most
-        blocks[x.block * PLACES // 8 : (x.block + 1) * PLACES // 8] = x.places
-    looked = rows.mapInArrow(released(_lookup(bits, spark.sparkContext.broadcast(bytes(blocks)))), f"id {kind}, token long, sha binary, maybe boolean")
+    rows = docs.select(*columns_for(docs, id=id_col, text=text_col), F.monotonically_increasing_id().alias("token"))
+    columns = f"id {kind}, token long, sha binary"
+    rows = rows.mapInArrow(released(_digest), columns)
+    looked = None
+    if ranges > 1:
+        rows = rows.withColumn("range", F.pmod(F.xxhash64("sha"), F.lit(ranges)).cast("int"))
+        rows = Cut(rows, "digests", by="range").frame
+        for r in range(ranges):
+            mine = rows.filter(F.col("range") == r).select("id", "token", "sha")
+            sent = _filter(mine, bits)
+            found = cut(mine.mapInArrow(released(_lookup(bits, sent)), f"{columns}, maybe boolean"), "looked")
+            sent.destroy()
+            looked = found if looked is None else looked.unionByName(found)
+    else:
+        rows = cut(rows, "digests")
+        looked = rows.mapInArrow(released(_lookup(bits, _filter(rows, bits))), f"{columns}, maybe boolean")
 
     alone = looked.filter(~F.col("maybe")).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha", "maybe")
     maybe = looked.filter("maybe")
@@ -112,8 +132,9 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows of which an equal text with a larger id stays. Ids must be distinct here."""
-    gone = find_copies(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("__gone")), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = find_copies(docs, id_col, text_col, **options).filter(~F.col("kept")).select(F.col(id_col).alias(name))
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

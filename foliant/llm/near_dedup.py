@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import LOWER, WORDS, grams, mix, runs, strings, token_hashes, tokens
-from foliant.llm.runtime import Cut, columns_for, cut, join_per_key, released, small_batches
+from foliant.llm.runtime import Cut, columns_for, cut, fresh, join_per_key, released, small_batches
 
 WIDTH = 5
 SLOTS, BANDS, ROWS = 256, 32, 4
@@ -540,8 +540,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """docs without the rows whose group keeps another row. Rows that repeat an id go or stay together."""
-    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col("__gone")), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = near_duplicates(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col(id_col).alias(name))
+    return docs.join(gone.hint("merge"), docs[f"`{id_col}`"].eqNullSafe(F.col(name)), "left_anti")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

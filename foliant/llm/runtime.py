@@ -28,12 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 class Cut:
-    """A data frame written once as Parquet; frame reads it, drop() deletes it."""
+    """A data frame written once as Parquet; frame reads it, drop() deletes it. by: a column by which each task parts its files."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, by: str | None = None):
         self.spark = df.sparkSession
         self.path = f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        (df.write.partitionBy(by) if by else df.write).parquet(self.path)
         self.frame = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

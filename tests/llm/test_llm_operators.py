@@ -56,6 +56,22 @@ def test_exact_dedup_with_a_full_filter(spark):
     assert small == large and sum(r.kept for r in small) == 900
 
 
+def test_exact_dedup_in_ranges(spark):
+    """More documents than the filter has room for: range by range, with the same results."""
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 17_000).cast("string")).alias("text"))
+    small, large = (sorted(exact_dedup.find_copies(df, filter_bytes=n).drop("possible").collect()) for n in (0, 1 << 20))
+    assert small == large and sum(r.kept for r in small) == 17_000
+    few = exact_dedup.find_copies(df, filter_bytes=0).filter("possible").count()
+    assert few < 16_000  # the rest passed straight through
+
+
+def test_exact_dedup_drops_copies(docs):
+    """Beside a column whose name the operator would use."""
+    df = docs.filter("doc_id in (1, 2, 3, 5)").withColumn("_gone", F.lit("x"))
+    assert sorted(r.doc_id for r in exact_dedup.drop_copies(df).collect()) == [2, 3, 5]
+    assert sorted(r.doc_id for r in near_dedup.keep_first(df).collect()) == [1, 3, 5]
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
