@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm import line_dedup, mixing, near_dedup, pieces, quality
-from foliant.llm.runtime import cut
+from foliant.llm.runtime import Cut
 from foliant.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -42,9 +42,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, pieces (packed numbers) and n_pieces."""
+    """doc_id, lang, source, pieces (packed numbers), n_pieces, and the hash of the text decoded again, with whether it is
+    the text; a document that was drawn twice is segmented twice."""
     ship(spark)
-    return pieces.encode(docs, keep=["doc_id", "lang", "source"])
+    return pieces.encode(docs, keep=["doc_id", "lang", "source"], check=True, by_row=True)
 
 
 STAGES = [
@@ -60,6 +61,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        now = Cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if before:
+            before.drop()
+        before, docs = now, now.frame
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -104,7 +104,9 @@ def test_all_stages_together(spark, corpus):
     out = cp.run(spark, d).collect()
     encoder = pieces.Encoder(open(pieces.MODEL, "rb").read())
     for r in out:
-        assert encoder.decode(r.pieces) == third[r.doc_id] and (r.n_pieces is None) == (third[r.doc_id] is None)
+        assert encoder.decode([r.pieces]) == [third[r.doc_id]] and (r.n_pieces is None) == (third[r.doc_id] is None) and r.lossless
+    again = Counter(r.doc_id for r in out)
+    assert len({(r.doc_id, r.pieces) for r in out if third[r.doc_id] and len(third[r.doc_id]) > 200}) == sum(again[i] for i in again if third[i] and len(third[i]) > 200)
     source = {i: s for i, _, _, s, _ in rows}
     size = {i: len(WORD.findall(t or "")) for i, t in third.items()}
     copies, by = Counter(r.doc_id for r in out), Counter()
@@ -121,3 +123,19 @@ def test_stage_names_and_edges(spark, corpus):
     assert len(cp.STAGES) in (4, 5)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, d).collect() == []
+
+
+def test_stages_with_clashing_columns_and_repeated_ids(spark, corpus):
+    """Extra columns with names that operators use inside, rows that repeat an id, and null ids change nothing else."""
+    from pyspark.sql import functions as F
+
+    d, rows = corpus
+    some = [r for r in rows if r[0] < 60]
+    docs = spark.createDataFrame([*some, some[4], some[4], (None, "no id", "en", None, 5)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("extra") for c in ("id", "_id", "th", "_th", "key", "pieces", "size", "_size", "blocks", "row", "_row", "shard", "cls", "_gone", "label", "score")})
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, d)
+        got = Counter(r.doc_id for r in out.collect())
+        assert set(got) <= {r[0] for r in some} | {None} and (name == "pieces" or out.columns == cp.COLUMNS)
+        if name in ("line dedup", "pieces"):
+            assert got[None] == 1 and (name == "line dedup" or got[some[4][0]] == 3)
