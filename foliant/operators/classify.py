@@ -142,7 +142,7 @@ def primary_article(articles: Column) -> Column:
 
 
 # The shape of a citation.
-CITATION = r"(?<![\p{L}\p{N}_])(?:(بند|تبصره|جزء|قسمت)\s*[«\"(]?\s*(\d{1,3}|[آ-ی]{1,3})\s*[»\")]?\s+(?:(?:از|ذیل|الحاقی\s+به)\s+)?)?(ماده|مواد|اصل|اصول)(?:‌?ی)?\s+(واحده|\d{1,4}(?:\s*مکرر(?:\s*\d{1,2})?)?(?:\s*(?:،|,|و|تا|الی|-|–)\s*\d{1,4}(?:\s*مکرر(?:\s*\d{1,2})?)?)*)\s*([^\n]{0,80})"
+CITATION = r"(?<![\p{L}\p{N}_])(?:(بند|تبصره|جزء|قسمت)\s*[«\"(]?\s*(\d{1,3}|[آ-ی]{1,3})\s*[»\")]?\s+(?:(?:از|ذیل|الحاقی\s+به)\s+)?)?(ماده|مواد|اصل|اصول)(?:‌?ی)?\s+(واحده|\d{1,4}(?:\s*مکرر(?:\s*\d{1,2})?)?(?:\s*(?:،|,|و|تا|الی|-|–)\s*\d{1,4}(?:\s*مکرر(?:\s*\d{1,2})?)?)*)(?=\s*([^\n]{0,300}))"
 
 
 def citations(text: Column) -> Column:

@@ -125,7 +125,7 @@ def test_learned_words_reads_all_documents(spark, tmp_path):
     docs = [(i, f"known start{i}\nbench known word{chr(97 + i)}, start{(i + 1) % 20}") for i in range(20)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "bench")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    assert sorted(r[0] for r in texts.learned_words_all(spark, str(tmp_path)).collect()) == [f"word{chr(97 + i)}" for i in range(20)]
+    assert sorted(r[0] for r in texts.learned_words(spark, str(tmp_path)).collect()) == [f"word{chr(97 + i)}" for i in range(20)]
 
 
 def test_corrections(spark):
