@@ -36,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.arrays import mix
-from foliant.llm.runtime import released, small_batches
+from foliant.llm.runtime import kept, released, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED = 0.1, 1
 #: Places of trees that a worker keeps, and characters that are worked on at once.
-KEPT, RUN_CHARS = 400_000, 1 << 20
+KEPT, RUN_CHARS = 300_000, 1 << 20
 SPACE = "▁"
 UNIT = re.compile(r" *[^ \n]+|\n| +")
 BATCH = 1000
@@ -442,16 +442,13 @@ class Encoder:
         return out
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
 def encoder(model: bytes, **options) -> Encoder:
     """A worker keeps its encoder, and what it has segmented, from task to task."""
-    key = (len(model), hash(model), *sorted(options.items()))
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(model, **options)
-    return _encoders[key]
+    key, mine = (len(model), hash(model), *sorted(options.items())), kept.setdefault("pieces", {})
+    if key not in mine:
+        mine.clear()
+        mine[key] = Encoder(model, **options)
+    return mine[key]
 
 
 def _encoded(check: bool, model, options: dict):
@@ -509,7 +506,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     key = F.xxhash64(F.lit(options.get("seed", SEED)), docs[f"`{id_col}`"], *([F.monotonically_increasing_id()] if by_row else []))
     rows = docs.select(*columns, key.alias("key"), docs[f"`{text_col}`"].alias("text"))
     checked = ", decoded_sha256 string, lossless boolean" if check else ""
-    out = rows.mapInArrow(released(_encoded(check, _sent(docs.sparkSession, model), options)), f"{kinds}pieces binary, n_pieces long{checked}")
+    out = rows.mapInArrow(released(_encoded(check, _sent(docs.sparkSession, model), options), keeps="pieces"), f"{kinds}pieces binary, n_pieces long{checked}")
     return out.select(*[F.col(c).alias(n) for c, n in zip(inner, keep, strict=True)], *more)
 
 
@@ -518,7 +515,7 @@ def decode(encoded: DataFrame, model: str = MODEL, pieces_col: str = "pieces") -
     keep = [c for c in encoded.columns if c != "decoded"]
     columns, kinds, inner = _carried(encoded, keep)
     rows = encoded.select(*columns, encoded[f"`{pieces_col}`"].alias("pieces"))
-    out = rows.mapInArrow(released(_decoded(_sent(encoded.sparkSession, model))), f"{kinds}decoded string")
+    out = rows.mapInArrow(released(_decoded(_sent(encoded.sparkSession, model)), keeps="pieces"), f"{kinds}decoded string")
     return out.select(*[F.col(c).alias(n) for c, n in zip(inner, keep, strict=True)], "decoded")
 
 

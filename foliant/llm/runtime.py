@@ -82,14 +82,33 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
-def released(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """work, after which a worker gives free memory back to the system instead of keeping it for its next task."""
+#: What a Python worker keeps from task to task, by the operator that does.
+kept: dict[str, dict] = {}
+
+
+def released(work: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """work, after which a worker gives free memory back to the system instead of keeping it for its next task.
+
+    What other operators than `keeps` have kept in the worker goes before it begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(keeps)
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        trim()
 
     return run
+
+
+def forget(but: str) -> None:
+    """A function of the module, so that a worker's own table is meant and not a copy that came with the work."""
+    for other in [name for name in kept if name != but]:
+        del kept[other]
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
