@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are worked on in runs of about so many bytes, for which a worker needs about 50 MB; a longer text is a run of its own.
-RUN_BYTES = 1 << 20
+#: Texts are worked on in runs of about so many bytes, for which a worker needs about 13 MB; a longer text is a run of its own.
+RUN_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[str, np.ndarray] = {}

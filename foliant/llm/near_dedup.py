@@ -53,7 +53,7 @@ MARGIN = 0.135
 BLOCK, BLOCK_ITEMS = 2000, 1_000_000
 #: Shingles that one task counts.
 PART_ITEMS = 1_000_000
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
@@ -255,10 +255,13 @@ class _Groups:
         self.spark, self.cut = spark, None
 
     def add(self, links: DataFrame) -> None:
-        """links (a, b)"""
+        """links (a, b); written first, so that a task has one Python worker at a time"""
+        new = Cut(links, "links")
+        links = new.frame
         if self.cut:
             links = links.unionByName(self.frame().select(F.col("cls").alias("a"), F.col("root").alias("b")))
         now = Cut(stars(links.filter("a <> b")), "groups")
+        new.drop()
         if self.cut:
             self.cut.drop()
         self.cut = now

@@ -72,7 +72,7 @@ def columns_for(docs: DataFrame, **wanted: str) -> list[Column]:
 
 
 #: Bytes of texts that a Python worker gets at once; the JVM holds as much outside its heap for each task.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -108,6 +108,7 @@ def forget(but: str) -> None:
 
 
 def trim() -> None:
+    pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pools keep what is freed
     pa.default_memory_pool().release_unused()
     give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if give_back:
