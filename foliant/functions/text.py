@@ -64,23 +64,36 @@ _DISPLAY = (
 )
 
 
-def display_form(text: Column, compose: bool = False) -> Column:
-    """How text is shown and stored. compose: apply NFKC first, for text that may not be in that form already."""
-    out = F.translate(nfkc(text) if compose else text, "يىك" + ARABIC_DIGITS, "ییک" + PERSIAN_DIGITS)
+#: Text without any of these is changed by three of the rules only: white space, blanks before "!", line ends.
+_SPECIAL = f"[؀-ۿ{ZWNJ}{INVISIBLE}]"
+_PLAIN = ((f"[{BLANK}]+", " "), (" +(?=!)", ""), (f" *\n[\n{BLANK}]*", "\n"))
+
+
+def _by_rules(text: Column) -> Column:
+    out = F.translate(text, "يىك" + ARABIC_DIGITS, "ییک" + PERSIAN_DIGITS)
     for pattern, replacement in _DISPLAY:
         out = F.regexp_replace(out, pattern, replacement)
     return strip(out)
 
 
+def display_form(text: Column, compose: bool = False) -> Column:
+    """How text is shown and stored. compose: apply NFKC first, for text that may not be in that form already."""
+    text = nfkc(text) if compose else text
+    plain = text
+    for pattern, replacement in _PLAIN:
+        plain = F.regexp_replace(plain, pattern, replacement)
+    return F.when(text.rlike(_SPECIAL), _by_rules(text)).otherwise(strip(plain))
+
+
 def _folded(text: Column) -> Column:
     return F.translate(text, "أإآٱؤئةۀ" + ZWNJ, "اااا" + "ویهه")
 
 
 def comparison_form(text: Column, compose: bool = False) -> Column:
     """For equality and containment: digits in ASCII, letters folded, words of letters and digits with single spaces."""
-    out = _folded(ascii_digits(display_form(text, compose)))
-    out = F.regexp_replace(out, f"[{DIACRITICS}ـ]", "")
-    return F.trim(F.lower(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")))
+    text = nfkc(text) if compose else text
+    out = F.regexp_replace(_folded(ascii_digits(_by_rules(text))), f"[{DIACRITICS}ـ]", "")
+    return F.trim(F.lower(F.regexp_replace(F.when(text.rlike(_SPECIAL), out).otherwise(text), r"[^\p{L}\p{N}]+", " ")))
 
 
 def plain_comparison_form(text: Column) -> Column:
