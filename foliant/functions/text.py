@@ -230,7 +230,8 @@ def inner_markers(text: Column) -> Column:
     plain = ascii_digits(text)
     words, marks = F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)), F.regexp_extract_all(plain, F.lit(pattern), F.lit(2))
     pairs = F.filter(F.arrays_zip(words.alias("w"), marks.alias("m")), lambda p: ~F.coalesce(p["w"].isin(*GUARDS), F.lit(False)))
-    return F.transform(pairs, lambda p: p["m"])
+    found = plain.rlike(r"(?:[1-4]|الف|[بجد])\s*[)\-]\s*[\p{L}_]")  # far cheaper than the whole pattern
+    return F.when(found, F.transform(pairs, lambda p: p["m"])).when(plain.isNotNull(), F.array().cast("array<string>"))
 
 
 def parse_keys(text: Column) -> Column:
