@@ -54,6 +54,8 @@ def test_duplicates_exact_equals_all_pairs(spark):
     for percent in (60, 88):
         want = {(i, j) for i in range(5) for j in range(5) if 200 * len(grams[i] & grams[j]) >= percent * (len(grams[i]) + len(grams[j]))}
         assert {(r.left_id, r.right_id) for r in duplicates.similar_pairs(df, df, percent).collect()} == want
+        within = [(r.left_id, r.right_id, r.shared, r.total) for r in duplicates.similar_pairs(df, percent=percent).collect()]
+        assert sorted(within) == [(i, j, len(grams[i] & grams[j]), len(grams[i]) + len(grams[j])) for i, j in sorted(want) if i < j]
 
 
 def test_fingerprint(spark):
