@@ -130,6 +130,26 @@ def test_learned_words_reads_all_documents(spark, tmp_path):
     assert sorted(r[0] for r in texts.learned_words(spark, str(tmp_path)).collect()) == [f"word{chr(97 + i)}" for i in range(20)]
 
 
+def _as_sql(spark, name, folder, **tables):
+    """(rows of the query, rows of its SQL) over tables written to folder, both sorted."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    con = duckdb.connect(config={"threads": 1})
+    for t, df in tables.items():
+        df.write.parquet(f"{folder}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS FROM read_parquet('{folder}/{t}.parquet/*.parquet')")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    return order(entry.queries()[name](spark, str(folder)).collect()), order(con.execute(entry.oracle_sql()[name]).fetchall())
+
+
+def test_learned_words_judges_words_without_their_punctuation(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "start\n(555) 222. 888- 12) 123. wwwx, fine"), (2, None), (3, "")], "doc_id long, text string")
+    ours, sql = _as_sql(spark, "learned_words", tmp_path, documents=docs, benchmark=spark.createDataFrame([(1, "known")], "item_id long, text string"))
+    assert ours == sql == [("12",), ("123",), ("fine",)]
+
+
 def test_corrections(spark):
     w = spark.createDataFrame([("d", 1, 0, k, x, f) for k, (x, f) in enumerate([("یک", None), ("غلظ", "low_conf"), ("سه", "low_conf"), ("غلظ", None)])], "doc string, page int, line int, pos int, text string, flag string")
     c = spark.createDataFrame([("d", 1, 0, "غلظ", "غلط"), ("d", 1, 0, "نیست", "x")], "doc string, page int, line int, wrong string, right string")
