@@ -313,7 +313,9 @@ b AS (SELECT *, sum(CASE WHEN lo - reach > 5 OR reach IS NULL THEN 1 ELSE 0 END)
 SELECT l_partkey, min(lo) AS lo, max(hi) AS hi, count(*) AS spans FROM b GROUP BY l_partkey, band
 """)
 def interval_merge_bands(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "lineitem").select("l_partkey", F.unix_date(F.col("l_shipdate").cast("date")).cast("long").alias("lo"))
+    # seconds round and days are cut towards 1970, as the SQL has them
+    seconds = "cast(rint(cast(cast(cast(l_shipdate - timestamp_ntz'1970-01-01' AS interval second) AS decimal(18, 6)) AS double)) AS bigint)"
+    s = table(spark, d, "lineitem").select("l_partkey", F.expr(f"{seconds} div 86400").alias("lo"))
     return lines.merge_bands(s.withColumn("hi", F.col("lo") + 20), ["l_partkey"], "lo", "hi", 5)
 
 

@@ -150,6 +150,13 @@ def test_learned_words_judges_words_without_their_punctuation(spark, tmp_path):
     assert ours == sql == [("12",), ("123",), ("fine",)]
 
 
+def test_interval_merge_bands_of_odd_dates(spark, tmp_path):
+    rows = [(1, "2000-01-01"), (1, None), (1, "2000-03-01"), (2, None), (2, None), (None, "2000-01-01"), (3, "1969-12-31 12:00:00"), (3, "1970-01-27"), (4, "2020-01-01 23:59:59.6"), (5, "2000-01-01"), (5, "2000-02-01"), (5, "2000-02-01"), (5, None)]
+    lineitem = spark.createDataFrame(rows, "l_partkey long, t string").selectExpr("l_partkey", "cast(t AS timestamp_ntz) AS l_shipdate")
+    ours, sql = _as_sql(spark, "interval_merge_bands", tmp_path, lineitem=lineitem)
+    assert ours == sql and (1, 11017, 11037, 2) in ours and (5, 10988, 11008, 3) in ours
+
+
 def test_corrections(spark):
     w = spark.createDataFrame([("d", 1, 0, k, x, f) for k, (x, f) in enumerate([("یک", None), ("غلظ", "low_conf"), ("سه", "low_conf"), ("غلظ", None)])], "doc string, page int, line int, pos int, text string, flag string")
     c = spark.createDataFrame([("d", 1, 0, "غلظ", "غلط"), ("d", 1, 0, "نیست", "x")], "doc string, page int, line int, wrong string, right string")
