@@ -157,6 +157,24 @@ def test_interval_merge_bands_of_odd_dates(spark, tmp_path):
     assert ours == sql and (1, 11017, 11037, 2) in ours and (5, 10988, 11008, 3) in ours
 
 
+def test_merge_readings_takes_many_pages_at_once(spark):
+    words = [(d, p, line, pos, x, *([0.1] * 4 if p else [None] * 4), float("nan") if p == 2 else 80.0) for d in ("a", None) for p in range(300) for line, pos, x in [(1, 0, "دو"), (0, 1, "c"), (0, 0, "یک")]]
+    w = spark.createDataFrame(words, "doc string, page int, line int, pos int, text string, x0 double, y0 double, x1 double, y1 double, conf double")
+    said = [(d, p, "یک c\nدو" if p % 2 else "یک e\nدو", False) for d in ("a", None) for p in range(1, 301)]
+    out = reconcile.merge_readings(w, spark.createDataFrame(said, "doc string, page int, answer string, trust boolean"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "InPandas" not in plan  # one call of Python a page took 0.8 ms on 8 cores
+    found = {}
+    for r in out.collect():
+        found.setdefault((r.doc, r.page), []).append((r.line, r.pos, r.text, r.flag, r.alt, r.conf, r.x0))
+    assert len(found) == 2 * 301
+    for d in ("a", None):
+        assert found[d, 0] == [(0, 0, "یک", None, None, 80.0, None), (0, 1, "c", None, None, 80.0, None), (1, 0, "دو", None, None, 80.0, None)]
+        assert found[d, 2] == [(0, 0, "یک", None, None, None, 0.1), (0, 1, "e", "disagree", "c", None, 0.1), (1, 0, "دو", None, None, None, 0.1)]
+        assert [x[2:4] for x in found[d, 3]] == [("یک", None), ("c", None), ("دو", None)]
+        assert found[d, 300] == [(0, 0, "یک", None, None, None, None), (0, 1, "e", None, None, None, None), (1, 0, "دو", None, None, None, None)]
+
+
 def test_corrections(spark):
     w = spark.createDataFrame([("d", 1, 0, k, x, f) for k, (x, f) in enumerate([("یک", None), ("غلظ", "low_conf"), ("سه", "low_conf"), ("غلظ", None)])], "doc string, page int, line int, pos int, text string, flag string")
     c = spark.createDataFrame([("d", 1, 0, "غلظ", "غلط"), ("d", 1, 0, "نیست", "x")], "doc string, page int, line int, wrong string, right string")
