@@ -545,3 +545,14 @@ def test_chat_escape_is_reversible(spark):
     df = spark.createDataFrame(rows, "t string").select("t", chat.unescape(chat.escape(F.col("t"))).alias("u"), chat.unescape_role(chat.escape_role(F.col("t"))).alias("v"), chat.escape(F.col("t")).alias("e"))
     for r in df.collect():
         assert r.u == r.v == r.t and not any(c in r.e for c in chat.CONTROLS[1:])
+
+
+def test_fingerprints_part_texts_by_their_size(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i} " * 40) for i in range(200)], "doc_id long, text string")
+    want = sorted(map(tuple, fingerprints.edited_likeness(docs).collect()))
+    monkeypatch.setattr(fingerprints, "BLOCK_BYTES", 1000, raising=False)
+    monkeypatch.setattr(fingerprints, "PARTITION_BYTES", 4000, raising=False)
+    rows, _ = fingerprints.with_next(docs)
+    assert rows.select("block").distinct().count() > 50 > 16 >= fingerprints.BLOCKS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.rdd.getNumPartitions() >= 16
+    assert sorted(map(tuple, fingerprints.edited_likeness(docs).collect())) == want
