@@ -76,6 +76,21 @@ def _next_ranks(ranks: DataFrame, step: int, total: int) -> DataFrame:
     return pairs.join(more, ["r", "r2"]).select(*DOC, "ln", (F.col("r") + F.col("more")).alias("r"), "hot")
 
 
+def _later(runs: DataFrame, ranks: DataFrame, step: int, size: int) -> DataFrame:
+    """(DOC, start, end), written: those of the `size` runs with step lines or more, but fewer than 2 * step, that repeat one before."""
+    first = ranks.select(*DOC, F.col("ln").alias("start"), F.col("r").alias("r1"))
+    last = ranks.select(*DOC, (F.col("ln") + (step - 1)).alias("end"), F.col("r").alias("r2"))
+    named, name = Cut(runs.join(first, [*DOC, "start"]).join(last, [*DOC, "end"]), "named"), ["length", "r1", "r2"]
+    found = named.frame.groupBy(*name).agg(F.min(F.struct("known", "id", "th", "start", "end")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    intervals = Cut(found, "intervals")
+    same = (F.col("id") == F.col("keep.id")) & (F.col("known") == F.col("keep.known")) & (F.col("th") == F.col("keep.th"))
+    joined = join_per_key(named.frame, intervals.frame, name, "n", size)
+    later = cut(joined.filter(~(same & (F.col("start") <= F.col("keep.end")))).select(*DOC, "start", "end"), "later")
+    named.drop()
+    intervals.drop()
+    return later
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(DOC, deleted): line numbers (from 0) of later copies, for documents that have any; th is xxhash64 of the text.
 
@@ -93,27 +108,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nth = F.row_number().over(Window.partitionBy(*DOC).orderBy("ln"))
     active = cut(active.withColumn("seg", F.col("ln") - nth), "active")
     runs = cut(_runs(active, min_words).withColumn("length", F.col("end") - F.col("start") + 1), "runs")
-    longest = runs.agg(F.max("length").alias("n")).first().n or 0
+    # by how many bits the length has, which names the round; 31 rows at most
+    sizes = runs.groupBy(F.length(F.bin("length")).alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect()
+    longest, sizes = max((r.longest for r in sizes), default=0), {r.bits: r.n for r in sizes}
 
-    ranks, found, step = Cut(active.select(*DOC, "ln", "r", "hot"), "ranks"), None, 1
+    ranks, found, step = Cut(active.select(*DOC, "ln", "r", "hot"), "ranks"), runs.select(*DOC, "start", "end").limit(0), 1
     while step <= longest:
         r = ranks.frame
-        first = r.select(*DOC, F.col("ln").alias("start"), F.col("r").alias("r1"))
-        last = r.select(*DOC, (F.col("ln") + (step - 1)).alias("end"), F.col("r").alias("r2"))
-        named = runs.filter((F.col("length") >= step) & (F.col("length") < 2 * step)).join(first, [*DOC, "start"]).join(last, [*DOC, "end"])
-        named = cut(named, "named")
-        name = ["length", "r1", "r2"]
-        intervals = named.groupBy(*name).agg(F.min(F.struct("known", "id", "th", "start", "end")).alias("keep"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        same = (F.col("id") == F.col("keep.id")) & (F.col("known") == F.col("keep.known")) & (F.col("th") == F.col("keep.th"))
-        later = join_per_key(named, cut(intervals, "intervals"), name, "n", named.count()).filter(~(same & (F.col("start") <= F.col("keep.end")))).select(*DOC, "start", "end")
-        found = later if found is None else found.unionByName(later)
+        if size := sizes.get(step.bit_length()):
+            # written by round: one plan over all rounds would make the driver build the broadcasts of all at once
+            found = found.unionByName(_later(runs.filter((F.col("length") >= step) & (F.col("length") < 2 * step)), r, step, size))
         step *= 2
         if step <= longest:
             following = Cut(_next_ranks(r, step // 2, total), "ranks")
             ranks.drop()
             ranks = following
-    if found is None:
-        found = runs.select(*DOC, "start", "end").limit(0)
     gone = found.select(*DOC, F.explode(F.sequence("start", "end")).alias("ln")).distinct()
     return gone.groupBy(*DOC).agg(F.collect_list("ln").alias("deleted"))
 

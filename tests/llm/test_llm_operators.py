@@ -316,6 +316,21 @@ def test_line_dedup_cases(docs, none):
     assert line_dedup.dedup_lines(none).collect() == []
 
 
+def test_line_dedup_joins_round_by_round(spark):
+    """Runs of 1 to 18 lines, named in five rounds: the plan over all rounds holds no round's joins and broadcasts."""
+    rows, k = [], 0
+    for n in (1, 2, 3, 4, 7, 8, 9, 16, 18):
+        run = [" ".join(["w"] * (18 // n + (i < 18 % n)) + [f"{n}/{i}"]) if i else f"{'w ' * (18 // n + 1)}{n}" for i in range(n)]
+        for _ in range(2):
+            rows.append((k, "\n".join([f"before {k}", *run, f"after {k}"])))
+            k += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.repeated_lines(df, min_words=18)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    deleted = {r.id: sorted(r.deleted) for r in found.collect()}
+    assert deleted == {i: gone for i, gone in brute_lines(rows, 18).items() if gone} and {len(x) for x in deleted.values()} == {1, 2, 3, 4, 7, 8, 9, 16, 18}
+
+
 def test_line_dedup_null_ids_come_first(spark):
     run = "\n".join(f"line {k} of the run" for k in range(5))
     df = spark.createDataFrame([(None, run), (0, run), (1, f"head\n{run}")], "doc_id long, text string")
